@@ -27,7 +27,7 @@ MIN_SHARE = 0.4
 #: Between two matches of one passage: words of the item that were altered, words of the document that were put in.
 ITEM_GAP, TEXT_GAP = 8, 40
 #: Of the words that a passage spans, how many must match.
-MIN_DENSITY = 0.5
+MIN_DENSITY = 0.65
 #: Items go to all tasks in blocks of at most so many characters; each block is a pass over the texts.
 BLOCK_CHARS = 16 << 20
 #: Characters of one shard.
