@@ -3,11 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lamina.llm import leakage, residue
+from lamina.llm import distinct, leakage, packing, percentiles, residue
 from lamina.session import table
 
 
+def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    tables = {n: (table(spark, d, n), "org_id", "event_date", "payload.score") for n in ("payload_left", "payload_right", "payload_mixed")}
+    return percentiles.group_percentiles(tables, "org_id")
+
+
+def p6_distinct(spark: SparkSession, d: str) -> DataFrame:
+    blank = lambda c: F.when(F.trim(F.regexp_replace(c, r"\s", "")) != "", F.col(c))
+    country = F.upper(F.trim(blank("country")))
+    dims = {"day": F.to_date("timestamp"), "org_id": F.col("org_id"), "country": country}
+    items = {"users": blank("user_id"), "orgs": F.col("org_id"), "countries": country}
+    return distinct.distinct_counts(table(spark, d, "event_log"), dims, items)
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(table(spark, d, "documents"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -16,5 +34,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "documents")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p5_percentiles, p6_distinct, p7_packed, p8_found, p9_found)}
 SQL: dict[str, str] = {}
