@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from lamina.session import written
 
 #: Centroids of a digest at most. The rank error at quantile q is at most about pi * sqrt(q * (1 - q)) / (2 * DELTA).
-DELTA = 256
+DELTA = 512
 #: The rank error, as a share of the group's values, that is promised beside one value.
 BOUND = 0.01
 #: Parts of a key at the first merge.
@@ -117,6 +117,8 @@ def merged(partial: DataFrame, keys: list[str], salts: int = 1) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
+            if held is not None:
+                held = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(held.columns, batch.schema)], schema=batch.schema)
             out = _combined(pa.Table.from_batches([held, batch] if held is not None else [batch]), names)
             if out.num_rows > 1:
                 yield out.slice(0, out.num_rows - 1)
