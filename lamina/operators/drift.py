@@ -295,3 +295,31 @@ def unified(df: DataFrame, file: tuple[str, str] = ("feed", "file_no"), line: st
     if isinstance(kind, T.StructType):
         out = out.withColumn(root, F.col(root).cast(_distinct_names(kind)))
     return out.select(first, number, position, *[F.col("__env")[n].try_cast(t).alias(n) for n, t in envelope], root)
+
+
+def schema_changes(spark, schemas: list[tuple[str, T.DataType]], root: str = "payload") -> DataFrame:
+    """(``file``, ``step``, ``change_kind``, ``field_path``, ``old_type``, ``new_type``): the ordered differences of each typed file's schema from the
+    one before it. Here schemas alone are known, so a renamed column is one removed and one added."""
+    from lamina.plans.types import from_spark
+    from lamina.plans.widening import shown
+
+    def name(kind: T.DataType) -> str:
+        if isinstance(kind, T.ArrayType):
+            return f"List({name(kind.elementType)})"
+        return "Struct" if isinstance(kind, T.StructType) else shown(from_spark(kind))
+
+    def walk(path: str, old: T.DataType, new: T.DataType) -> Iterator[tuple]:
+        if isinstance(old, T.StructType) and isinstance(new, T.StructType):
+            for f in old.fields:
+                if f.name in new.names:
+                    yield from walk(f"{path}.{f.name}", f.dataType, new[f.name].dataType)
+                else:
+                    yield "removed", f"{path}.{f.name}", name(f.dataType), ""
+            for f in new.fields:
+                if f.name not in old.names:
+                    yield "added", f"{path}.{f.name}", "", name(f.dataType)
+        elif name(old) != name(new):
+            yield "retyped", path, name(old), name(new)
+
+    rows = [(file, k, *change) for (_, old), (file, new) in zip(schemas, schemas[1:]) for k, change in enumerate(walk(root, old, new), 1)]
+    return spark.createDataFrame(rows, "file string, step int, change_kind string, field_path string, old_type string, new_type string")
