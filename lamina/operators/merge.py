@@ -7,7 +7,6 @@ reach every scan.
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 from functools import reduce
 
@@ -24,6 +23,8 @@ from lamina.sources.footers import distinct_schemas
 
 #: Names of the columns that hold a row's source and place in it.
 SOURCE, ROW = "__source", "__row"
+#: Names of so many files at most are broadcast, each of a few hundred bytes; of more, they are joined like any table.
+BROADCAST_FILES = 50_000
 #: Rows of a source that are checked for their order by one task.
 CHECKED_ROWS = 1 << 20
 
@@ -86,18 +87,26 @@ def read_files(spark: SparkSession, paths: list[str], contract, tagged: bool = F
         frames.append(adapt(df, schema, target, ("__file", ROW) if tagged else ()))
     out = union(frames)
     if tagged:
-        names = spark.createDataFrame([(_uri(p), k) for k, p in enumerate(paths)], f"__file string, {SOURCE} int")
-        out = out.join(names, "__file").select(*[f"`{n}`" for n in target.names], SOURCE, ROW)
+        out = numbered(out, paths).select(*[f"`{n}`" for n in target.names], SOURCE, ROW)
     return Merged(out, target, len(schemas), len(paths) - len(schemas))
 
 
-def _uri(path: str) -> str:
-    """A path as Spark's ``_metadata.file_path`` has it."""
-    from urllib.parse import quote
+def numbered(df: DataFrame, paths: list[str], file: str = "__file", number: str = SOURCE) -> DataFrame:
+    """``df``, whose column ``file`` has ``_metadata.file_path``, with the place in ``paths`` of each row's file."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
 
-    if "://" in path or path.startswith("file:"):
-        return path.replace("file://", "file:", 1) if path.startswith("file:////") else path
-    return "file://" + quote(os.path.abspath(path), safe="/=:,@+$!*'()&;~-._")
+    def uri(path: str) -> str:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        return _one_slash(at.getFileSystem(conf).makeQualified(at).toUri().toString())
+
+    names = spark.createDataFrame([(uri(p), k) for k, p in enumerate(paths)], f"__uri string, {number} int")
+    names = F.broadcast(names) if len(paths) <= BROADCAST_FILES else names
+    return df.withColumn("__uri", F.regexp_replace(file, "^file:/+", "file:/")).join(names, "__uri").drop("__uri")
+
+
+def _one_slash(uri: str) -> str:
+    return "file:/" + uri[5:].lstrip("/") if uri.startswith("file:/") else uri
 
 
 def order_key_error(schema: pa.Schema, field: str, payload_column: str | None) -> str | None:

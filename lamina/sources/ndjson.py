@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamina.operators.merge import _uri, sort_columns
+from lamina.operators.merge import numbered, sort_columns
 from lamina.plans.options import NdjsonOptions, WideningOptions
 from lamina.plans.types import to_spark
 from lamina.plans.widening import SchemaConflict, scalar, shown
@@ -132,8 +132,7 @@ def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     df = spark.read.option("lineSep", "\n").text(list(dict.fromkeys(paths))).select(
         F.regexp_replace("value", r"\r+\z", "").alias("line"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"))
     df = df.withColumn("__at", F.monotonically_increasing_id()).filter("line != ''")
-    names = spark.createDataFrame([(_uri(p), k) for k, p in enumerate(paths)], "__file string, __source int")
-    return df.join(names, "__file").select("line", "__source", "__block", "__at", "__file")
+    return numbered(df, paths).select("line", "__source", "__block", "__at", "__file")
 
 
 def _mixed(shape: Shape, path: tuple[str, ...]) -> Iterator[tuple[str, ...]]:
