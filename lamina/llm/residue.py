@@ -83,7 +83,7 @@ _LETTERS, _DIGITS, _RUN = re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compi
 
 def places(text: str | None) -> list[tuple[str, str]]:
     """(kind, content) of what a record holds; places without content are left out."""
-    if not text or not text.strip():
+    if not text or not any(c.isalnum() for c in text):
         return []
     if "\\" not in text or not _TEX.search(text):
         return [("record", _SPACE.sub(" ", _TAG.sub(lambda m: " " if m[1] or m[2].lower() != "noscript" else " <noscript ", text)).strip())]
@@ -257,7 +257,7 @@ def residue(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", mo
     """(``doc_id``, ``places``, ``kind``, ``odds``): the records with residue in place of content; how many places, and of the
     surest one its kind and mean log odds.
 
-    Defined results: null, empty and blank texts are no residue, nor are comments, switched-off drafts, missing includes and
+    Defined results: null and empty texts and such without letters and digits are no residue, nor are comments, switched-off drafts, missing includes and
     verbatim quotations; texts are read whole; copies of a record are judged each and alike; where no passage is trusted
     nothing is residue. An empty table gives an empty result.
     """
