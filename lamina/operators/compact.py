@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from lamina.functions import hilbert
 from lamina.functions.jsonvalues import digest
-from lamina.session import fresh_path
+from lamina.session import fresh_path, spread
 
 #: Cells of the histogram that comes to the driver, and whose file numbers go to all tasks: 65,536 rows at most.
 HISTOGRAM_BITS = 16
@@ -97,7 +97,7 @@ def compact(df: DataFrame, order: tuple[str, str] = ("file_id", "row_no"), dims:
     rows = df.select(*order, *dims, payload)
     bounds = rows.agg(*[f(c).cast("bigint") for c in dims for f in (F.min, F.max)]).first()
     low, high = [x or 0 for x in bounds[::2]], [x or 0 for x in bounds[1::2]]
-    coded = _coded(rows, dims, payload, low, high)
+    coded = _coded(spread(rows), dims, payload, low, high)
     key = [*dims, "__digest"]
     kept = (
         coded.groupBy(*key, "__code")

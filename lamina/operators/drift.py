@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamina.functions.jsonvalues import Number, canonical
-from lamina.session import written
+from lamina.session import spread, written
 
 #: Bits of the kinds that a path may hold in one file.
 BOOLEAN, INT64, FLOAT64, UTF8, STRUCT, LIST = (1 << k for k in range(6))
@@ -116,7 +116,7 @@ def headers(df: DataFrame, file: tuple[str, str], line: str, outside: tuple[str,
                 out += [(a, b, path, mask) for path, mask in seen.items()]
             yield pd.DataFrame(out, columns=["a", "b", "path", "mask"])
 
-    lines = df.select(F.col(file[0]).alias("a"), F.col(file[1]).alias("b"), F.col(line).alias("line"))
+    lines = spread(df.select(F.col(file[0]).alias("a"), F.col(file[1]).alias("b"), F.col(line).alias("line")))
     seen = lines.mapInPandas(run, schema).groupBy("a", "b", "path").agg(F.bit_or("mask").alias("mask"))
     return seen.groupBy("a", "b").agg(F.map_from_entries(F.collect_list(F.struct("path", "mask"))).alias("paths"))
 

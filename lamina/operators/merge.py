@@ -7,26 +7,29 @@ reach every scan.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import types as at
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lamina.operators.adapt import adapt
 from lamina.plans.options import PayloadOptions, TopLevelOptions
 from lamina.plans.types import schema_of
 from lamina.plans.widening import fold, merge_payload, merge_schemas, merge_top_level, shown
+from lamina.session import written
 from lamina.sources.footers import distinct_schemas
 
 #: Names of the columns that hold a row's source and place in it.
 SOURCE, ROW = "__source", "__row"
 #: Names of so many files at most are broadcast, each of a few hundred bytes; of more, they are joined like any table.
 BROADCAST_FILES = 50_000
-#: Rows of a source that are checked for their order by one task.
-CHECKED_ROWS = 1 << 20
 
 
 class NotSorted(ValueError):
@@ -127,24 +130,65 @@ def sort_columns(field: str, floating: bool = False) -> list[Column]:
     return [key.asc_nulls_last(), *signed]
 
 
-def disorder(df: DataFrame, field: str, source: str = SOURCE, row: str = ROW, rows: int = CHECKED_ROWS) -> DataFrame:
+def disorder(df: DataFrame, field: str, source: str = SOURCE, row: str = ROW) -> DataFrame:
     """(``source``, ``row``) of every row that sorts before the row ahead of it in its source.
 
-    A source is checked in blocks of rows, each by one task, and blocks against each other by their last and first rows:
-    no task holds a source.
+    Scans deliver a source's rows in their order, so each task compares neighbours as they stream by; one row with both
+    ends of each run is all that leaves a task, and these ends are compared with each other. Nothing else is shuffled.
+    Frames whose rows don't come by source and place must be sorted that way within their partitions. NaN and null are last.
     """
-    key = F.col(f"`{field}`").alias("k")
-    tagged = df.select(F.col(source).alias("s"), F.col(row).alias("r"), (F.floor(F.col(row) / rows)).alias("b"), key)
-    inner = Window.partitionBy("s", "b").orderBy("r")
-    before, here = F.lag("k").over(inner), F.col("k")
-    first = F.lag("r").over(inner).isNull()
-    falls = (before.isNull() & here.isNotNull()) | (before > here)
-    within = tagged.select("s", "r", (F.when(first, F.lit(False)).otherwise(F.coalesce(falls, F.lit(False)))).alias("bad")).filter("bad").select("s", "r")
-    ends = tagged.groupBy("s", "b").agg(F.min_by(F.struct("k"), "r").alias("head"), F.max_by(F.struct("k"), "r").alias("tail"), F.min("r").alias("r"))
-    outer = Window.partitionBy("s").orderBy("b")
-    ends = ends.withColumn("p", F.lag("tail").over(outer)).filter("p is not null")
-    between = ends.filter((F.col("p.k").isNull() & F.col("head.k").isNotNull()) | (F.col("p.k") > F.col("head.k"))).select("s", "r")
-    return within.unionByName(between).select(F.col("s").alias(source), F.col("r").alias(row))
+    rows = df.select(F.col(source).alias("s"), F.col(row).alias("r"), F.col(f"`{field}`").alias("k"))
+    kinds = rows.schema
+    out = T.StructType([kinds["s"], T.StructField("r", T.LongType()), T.StructField("bad", T.BooleanType()), T.StructField("first", kinds["k"].dataType), T.StructField("last", kinds["k"].dataType), T.StructField("end", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last row so far
+        head = None  # source, first place and first key of the run so far
+        ends: list[tuple] = []
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if not table.num_rows:
+                continue
+            if held is not None:
+                table = pa.concat_tables([held.cast(table.schema), table])
+            s, r = table["s"].to_numpy(), table["r"].to_numpy()
+            k = table["k"].combine_chunks()
+            if held is None:
+                head = (s[0], r[0], k[0])
+            falls = _falls(k)
+            # Within a run of one source places go up by one; where they don't, another run begins.
+            joins = (s[1:] == s[:-1]) & (r[1:] == r[:-1] + 1)
+            for at in np.flatnonzero(~joins):
+                ends.append((*head, k[at], r[at]))
+                head = (s[at + 1], r[at + 1], k[at + 1])
+            bad = np.flatnonzero(falls & joins) + 1
+            if len(bad):
+                n = len(bad)
+                yield pa.RecordBatch.from_arrays([pa.array(s[bad], batch.schema.field("s").type), pa.array(r[bad], pa.int64()), pa.array([True] * n), pa.nulls(n, k.type), pa.nulls(n, k.type), pa.nulls(n, pa.int64())], names=out.names)
+            held = table.slice(table.num_rows - 1)
+        if held is not None:
+            ends.append((*head, held["k"][0], held["r"][0].as_py()))
+            kind = held["k"].type
+            yield pa.RecordBatch.from_arrays([
+                pa.array([e[0] for e in ends], held["s"].type), pa.array([e[1] for e in ends], pa.int64()), pa.array([False] * len(ends)), pa.array([e[2].as_py() for e in ends], kind),
+                pa.array([e[3].as_py() for e in ends], kind), pa.array([e[4] for e in ends], pa.int64())], names=out.names)
+
+    found = written(rows.mapInArrow(run, out), "disorder")
+    order = Window.partitionBy("s").orderBy("r")
+    ends = found.filter("not bad").withColumn("p", F.lag(F.struct("last")).over(order))
+    between = ends.filter(F.col("p").isNotNull() & F.coalesce((F.col("p.last").isNull() & F.col("first").isNotNull()) | (F.col("p.last") > F.col("first")), F.lit(False)))
+    return found.filter("bad").select("s", "r").unionByName(between.select("s", "r")).select(F.col("s").alias(source), F.col("r").alias(row))
+
+
+def _falls(k: pa.Array) -> np.ndarray:
+    """Whether each value but the first sorts before the one ahead of it."""
+    before, after = k.slice(0, len(k) - 1), k.slice(1)
+    none_before, none_after = before.is_null().to_numpy(zero_copy_only=False), after.is_null().to_numpy(zero_copy_only=False)
+    greater = pc.fill_null(pc.greater(before, after), False).to_numpy(zero_copy_only=False)
+    if at.is_floating(k.type):
+        nan_before, nan_after = (pc.fill_null(pc.is_nan(x), False).to_numpy(zero_copy_only=False) for x in (before, after))
+        greater = greater | (nan_before & ~nan_after & ~none_after)
+    return np.where(none_before, ~none_after, greater & ~none_after)
 
 
 def ordered(df: DataFrame, field: str, kind: pa.DataType | None = None, names: list[str] | None = None) -> DataFrame:
@@ -164,7 +208,10 @@ def merge_payload_files(spark: SparkSession, paths: list[str], options: PayloadO
         return merged
     if problem := order_key_error(merged.schema, ordering_field, options.payload_column):
         raise ValueError(problem)
-    bad = disorder(merged.frame, ordering_field).orderBy(SOURCE, ROW).limit(1).collect()
+    checked = merged.frame
+    if len(paths) > BROADCAST_FILES:  # their join with the names lost the order of the scans
+        checked = checked.repartition(SOURCE, F.shiftright(ROW, 20)).sortWithinPartitions(SOURCE, ROW)
+    bad = disorder(checked, ordering_field).orderBy(SOURCE, ROW).limit(1).collect()
     if bad:
         raise NotSorted(f"input parquet file `{paths[bad[0][SOURCE]]}` is not sorted ascending by `{ordering_field}` near row {bad[0][ROW]}")
     frame = ordered(merged.frame, ordering_field, merged.schema.field(ordering_field).type)

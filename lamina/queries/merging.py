@@ -115,8 +115,9 @@ ORDERINGS = {
 
 
 def ordered_sortedness_check(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select("value", F.pmod("event_id", F.lit(3)).cast("int").alias(merge.SOURCE), F.col("event_id").alias(merge.ROW))
-    bad = merge.disorder(e, "value")
+    # Three sources of consecutive events; their places in the sources count from the first.
+    e = table(spark, d, "events").select("value", F.pmod("event_id", F.lit(3)).cast("int").alias(merge.SOURCE), F.expr("event_id div 3").alias(merge.ROW))
+    bad = merge.disorder(e.repartition(merge.SOURCE).sortWithinPartitions(merge.SOURCE, merge.ROW), "value")
     return bad.groupBy(F.col(merge.SOURCE).alias("source")).agg(F.count(F.lit(1)).alias("violations"), F.min(merge.ROW).alias("first_row"))
 
 
@@ -236,7 +237,7 @@ SQL = {
     "payload_sum_nested": "WITH u AS (SELECT payload.score AS s FROM payload_left UNION ALL SELECT payload.score FROM payload_mixed) SELECT sum(s)::BIGINT AS total, count(s) AS n, count(*) AS n_rows FROM u",
     "payload_project_nested": "SELECT event_id, payload.profile.name AS name, NULL::VARCHAR AS segment FROM payload_left UNION ALL SELECT event_id, NULL, payload.profile.segment FROM payload_mixed",
     **{n: _order_sql(k.replace("cast(ts as date)", "ts::DATE")) for n, (k, _) in ORDERINGS.items()},
-    "ordered_sortedness_check": "WITH s AS (SELECT (event_id % 3)::INTEGER AS source, event_id, value, lag(value) OVER w AS p, lag(event_id) OVER w AS q FROM events WINDOW w AS (PARTITION BY event_id % 3 ORDER BY event_id)) SELECT source, count(*) AS violations, min(event_id) AS first_row FROM s WHERE q IS NOT NULL AND ((p IS NULL AND value IS NOT NULL) OR p > value) GROUP BY source",
+    "ordered_sortedness_check": "WITH s AS (SELECT (event_id % 3)::INTEGER AS source, event_id, value, lag(value) OVER w AS p, lag(event_id) OVER w AS q FROM events WINDOW w AS (PARTITION BY event_id % 3 ORDER BY event_id)) SELECT source, count(*) AS violations, min(event_id // 3) AS first_row FROM s WHERE q IS NOT NULL AND ((p IS NULL AND value IS NOT NULL) OR p > value) GROUP BY source",
     "ndjson_compact": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN user_id END AS user_id, CASE WHEN event_id % 2 = 0 THEN event_type END AS kind, CASE WHEN event_id % 2 = 0 THEN user_id::DOUBLE ELSE value END AS score, CASE WHEN event_id % 2 = 0 THEN event_type END AS name, CASE WHEN event_id % 2 = 1 THEN user_id END AS tier, CASE WHEN event_id % 2 = 1 THEN user_id END AS first_score FROM events",
     "ndjson_compact_sorted": "WITH s AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN user_id END AS user_id FROM events) SELECT row_number() OVER (ORDER BY (user_id IS NULL), user_id, event_id % 2, event_id) AS pos, event_id, user_id FROM s",
     "ndjson_discovered_schema": _values(_DISCOVERED, "path, type, nullable"),

@@ -55,3 +55,12 @@ def micros(df: DataFrame, name: str) -> Column:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores (few row groups), dealt out to all of them: for work in Python that costs far
+    more than the shuffle. A scan of enough partitions stays as it is, and so does what isn't a plain scan."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString() or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)

@@ -103,6 +103,26 @@ def observed(value, path: str, options: WideningOptions) -> Shape:
     return shape_of(value)
 
 
+def signature(value):
+    """Equal for values of equal shape; far cheaper than the shape itself."""
+    if value is None or value is True or value is False:
+        return value is None
+    kind = type(value)
+    if kind is dict:
+        return tuple((k, signature(v)) for k, v in value.items())
+    if kind is list:
+        return ("[]", *dict.fromkeys(map(signature, value)))
+    if kind is int:
+        return "i" if -I64 - 1 <= value <= I64 else "u" if 0 <= value <= U64 else "f"
+    return "s" if kind is str else "f"
+
+
+def times(shape: Shape, n: int) -> Shape:
+    """The shape of ``n`` records of one shape."""
+    members = None if shape.members is None else {k: times(m, n) for k, m in shape.members.items()}
+    return Shape(shape.scalar, members, None if shape.element is None else times(shape.element, n), shape.seen * n, shape.nulls * n, shape.mixed)
+
+
 def _first_wins(pairs):
     out = {}
     for k, v in pairs:
@@ -155,28 +175,37 @@ def discover_lines(df: DataFrame, options: NdjsonOptions) -> Discovered:
     """The schema of a frame with ``line``, ``__source``, ``__block``, ``__at`` and ``__file``."""
     widening, payload, envelope = options.widening, options.payload_column, set(options.envelope_fields)
 
+    def both(left: Shape, right: Shape) -> Shape:
+        members = {k: joined(left.members[k], right.members[k], path, widening) for k, path in (("e", ""), ("p", payload))}
+        return Shape(members=members, seen=left.seen + right.seen)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pickle
 
-        state, at, error = None, None, None
+        at, error = None, None
+        counts: dict[tuple, list] = {}  # by signature: how many records, and the first one
         for batch in batches:
             for text, source, block, file in zip(batch["line"], batch["__source"], batch["__block"], batch["__file"]):
                 at = at if at is not None else (source, block)
                 try:
                     record = parse(text, file)
-                    own, rest = {}, {}
-                    for k, v in record.items():
-                        (own if k in envelope else rest)[k] = v
-                    shape = Shape(members={"e": observed(own, "", widening), "p": observed(rest, payload, widening)}, seen=1)
-                    if state is None:
-                        state = shape
-                    else:
-                        state = Shape(members={"e": joined(state.members["e"], shape.members["e"], "", widening), "p": joined(state.members["p"], shape.members["p"], payload, widening)}, seen=state.seen + 1)
                 except ValueError as e:
-                    error = error or (type(e).__name__, getattr(e, "conflicts", str(e)))
+                    error = (type(e).__name__, str(e))
                     break
+                known = counts.setdefault(signature(record), [0, record])
+                known[0] += 1
             if error:
                 break
+        state = None
+        try:
+            for n, record in counts.values():
+                own, rest = {}, {}
+                for k, v in record.items():
+                    (own if k in envelope else rest)[k] = v
+                shape = times(Shape(members={"e": observed(own, "", widening), "p": observed(rest, payload, widening)}, seen=1), n)
+                state = shape if state is None else both(state, shape)
+        except SchemaConflict as e:
+            error = ("SchemaConflict", e.conflicts)
         if at is not None:
             yield pd.DataFrame([(int(at[0]), int(at[1]), pickle.dumps((state, error)))], columns=["s", "b", "x"])
 
@@ -190,10 +219,7 @@ def discover_lines(df: DataFrame, options: NdjsonOptions) -> Discovered:
             raise SchemaConflict(error[1]) if error[0] == "SchemaConflict" else ValueError(error[1])
         if shape is None:
             continue
-        if state is None:
-            state = shape
-        else:
-            state = Shape(members={"e": joined(state.members["e"], shape.members["e"], "", widening), "p": joined(state.members["p"], shape.members["p"], payload, widening)}, seen=state.seen + shape.seen)
+        state = shape if state is None else both(state, shape)
     records = state.seen if state else 0
     own = state.members["e"].members if state else {}
     columns = []

@@ -130,11 +130,19 @@ def test_bad_order(spark, tmp_path):
         merge.merge_payload_files(spark, [flags], ordering_field="is_active")
 
 
-def test_disorder_is_found_within_and_between_blocks(spark):
+def test_disorder_is_found_within_and_between_tasks(spark):
     values = [1, 2, 2, 5, 4, None, None, 7, 8]
     df = spark.createDataFrame([(0, k, v) for k, v in enumerate(values)] + [(1, 0, 0)], f"{merge.SOURCE} int, {merge.ROW} long, v int")
-    for rows in (2, 3, 4, 100):
-        assert sorted(r[merge.ROW] for r in merge.disorder(df, "v", rows=rows).collect()) == [4, 7]
+    for parts in (1, 2, 3, 5, 10):
+        cut = df.repartitionByRange(parts, merge.SOURCE, merge.ROW).sortWithinPartitions(merge.SOURCE, merge.ROW)
+        assert sorted(r[merge.ROW] for r in merge.disorder(cut, "v").collect()) == [4, 7]
+
+
+@pytest.mark.parametrize("values,bad", [([1.0, float("nan"), None], []), ([float("nan"), 1.0], [1]), ([None, float("nan")], [1]), (["b", "a"], [1]), ([dt.date(2020, 1, 2), dt.date(2020, 1, 1), None], [1]), ([], [])])
+def test_disorder_of_kinds(spark, values, bad):
+    kind = "double" if not values or isinstance(values[-1], float) or isinstance(values[0], float) else "string" if isinstance(values[0], str) else "date"
+    df = spark.createDataFrame([(0, k, v) for k, v in enumerate(values)], f"{merge.SOURCE} int, {merge.ROW} long, v {kind}").coalesce(1)
+    assert [r[merge.ROW] for r in merge.disorder(df, "v").collect()] == bad
 
 
 def test_positions(spark):
