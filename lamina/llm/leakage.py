@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamina.llm.texwords import words
+from lamina.session import spread
 
 #: The shortest verbatim match that counts, in words.
 MIN_WORDS = 3
@@ -225,7 +226,7 @@ def leaks(documents: DataFrame, evaluation: DataFrame, doc_id: str = "doc_id", t
     ])
     arrow = pa.schema([("d", _arrow(schema[0].dataType)), ("i", _arrow(schema[1].dataType)), ("s", pa.float64()), *((k, pa.int64()) for k in "mnab")])
     names = schema.names
-    texts = documents.select(F.col(doc_id).alias("d"), F.col(text).alias("x"))
+    texts = spread(documents.select(F.col(doc_id).alias("d"), F.col(text).alias("x")))
 
     def passed(block: list[tuple]) -> DataFrame:
         sent = spark.sparkContext.broadcast(block)

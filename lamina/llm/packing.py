@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.session import written
+from lamina.session import spread, written
 
 CAPACITY = 4096
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -57,7 +57,7 @@ def token_counts(documents: DataFrame, doc_id: str, text: str, vocabulary: str =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([size(x) for x in batch.column(1).to_pylist()], pa.int64())], names=["doc_id", "n_tokens"])
 
-    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = spread(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens bigint")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamina.session import written
+from lamina.session import spread, written
 
 #: The model is fitted on at most so many trusted and unlabelled passages, chosen by hash.
 MAX_TRUSTED, MAX_UNLABELLED = 6_000, 40_000
@@ -242,7 +242,7 @@ def learn(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> M
             yield pa.RecordBatch.from_arrays([pa.array(flags, pa.bool_()), pa.array(kept, pa.string())], names=["t", "p"])
 
     # Both limits bound what comes to the driver; ordered, so that the same data give the same model.
-    found = written(rows.mapInArrow(run, "t boolean, p string").withColumn("h", F.xxhash64("p")), "residue-fit")
+    found = written(spread(rows).mapInArrow(run, "t boolean, p string").withColumn("h", F.xxhash64("p")), "residue-fit")
     sample = {}
     for sure, most in ((True, MAX_TRUSTED), (False, MAX_UNLABELLED)):
         own = found.filter(F.col("t") == sure)
@@ -277,7 +277,7 @@ def residue(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", mo
             ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.float64())], names=schema.names)
 
-    return documents.select(F.col(doc_id), F.col(text)).mapInArrow(run, schema)
+    return spread(documents.select(F.col(doc_id), F.col(text))).mapInArrow(run, schema)
 
 
 def without_residue(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
