@@ -35,6 +35,8 @@ ROUNDS = 8
 PRIOR = 0.01
 #: An unlabelled passage counts as residue in the next round only from this posterior.
 SURE = 0.95
+#: What one feature adds at most, either way: no single word decides.
+MOST = 6.0
 #: Pseudo-counts of each class.
 SMOOTHING = 50.0
 #: Log odds from which a passage is residue, and the share of a place's words that must be in such passages.
@@ -48,14 +50,15 @@ _TRUSTED = re.compile(
     r"""^(?:\{\{.{1,80}\}\}|\$\{[\w. ]{1,60}\}|@@\w{1,60}@@|__\w{1,60}__|%%\w{1,60}%%|<\?(?:php|=).{1,80}\?>|<(?:your[-_ ]|the[ -_]|le |la |el |der |die |das |)?[\w -]{2,40}\d*>)$
     |^\[\s*(?:insert|enter|put|add|your|type|write|paste|ins[eé]r|ingres|escrib|saisi|entre[rz]|hier|bitte)\b.{0,80}\]$
     |^(?:your|sample|replace|paste|enter|insert|type|put)\b.{0,60}\b(?:here|text|placeholder|dummy|field|paper|manuscript|report|article)\b.{0,60}$
-    |^(?:x{2,}[\s.]*)+$|^(?:(\b\w+\b)[\s.,]*)(?:\1[\s.,]*){3,}$|^(?:undefined|null|nan|todo|tbd)(?:\s+(?:undefined|null|nan|todo|tbd))*$
+    |^(?:x{2,}[\s.]*)+$|^(?:(\b\w+\b)[\s.,]*)(?:\1[\s.,]*){3,}$|^(?:undefined|null|nan|todo|tbd)$|^(?:(?:undefined|null|nan|none|todo|tbd)\s*){2,}$
     |\blorem\s+ipsum\b|^\\(?:lipsum|blindtext|Blindtext|blinddocument|kant|Blinddocument)\b
-    |\b(?:dummy|filler|placeholder)\s+text\b|\btexto\s+de\s+relleno\b|\btexte\s+(?:de\s+remplissage|factice)\b|\b(?:blind|f[uü]ll|platzhalter)text\b
+    |\bfirst\s*name,?\s+last\s*name\b|\b(?:dummy|filler|placeholder)\s+(?:text|content|copy|paragraph|goes)\b|\btexto\s+de\s+relleno\b|\btexte\s+(?:de\s+remplissage|factice)\b|\b(?:blind|f[uü]ll|platzhalter)text\b
     |\b(?:enable|activate|activer|aktivieren|activ[ae]r?|habilit\w+|requires?|switch\s+on|turn\s+on)\b.{0,40}\b(?:javascript|scripts?|cookies)\b
     |\bchecking\s+your\s+browser\b|\bunusual\s+traffic\b|\bnot\s+a\s+robot\b
     |\b(?:access\s+denied|session\s+has\s+(?:expired|timed\s+out)|page\s+you\s+(?:asked|requested)|something\s+went\s+wrong|rate\s+limit\s+reached)\b
     |\b(?:zugriff\s+verweigert|acc[eè]s\s+refus[eé]|acceso\s+denegado|page\s+introuvable|seite\s+nicht\s+gefunden|p[aá]gina\s+no\s+encontrada)\b
-    |\b(?:error|erreur|fehler)\s+\d{3}\s*:|^fatal\s*:|\b[45]\d\d\s+(?:bad\s+gateway|unauthorized|forbidden|not\s+found|gateway\s+timeout|internal\s+server\s+error|too\s+many\s+requests|service\s+unavailable)\b
+    |\b(?:error|erreur|fehler)\s+\d{3}\s*:|^fatal\s*:|\b[45]\d\d\s+(?:bad\s+gateway|unauthorized|forbidden|not\s+found|gateway\s+timeout|internal\s+server\s+error|too\s+many\s+requests|service\s+unavailable|gone)\b
+    |\b(?:dienst|service|servicio|server)\b.{0,30}\b(?:nicht\s+(?:erreichbar|verf[uü]gbar)|indisponible|no\s+est[aá]\s+disponible|unavailable)\b
     """,
     re.I | re.X | re.S,
 )
@@ -123,14 +126,20 @@ def passages(content: str) -> list[str]:
     return [s for s in _SENTENCE.split(content) if any(c.isalnum() for c in s)] or [content]
 
 
-def features(passage: str) -> list[str]:
-    """Words and pairs of words with the passage's ends, marks of templates, the outline of short passages, repetition.
+def extent(kind: str, content: str) -> str:
+    """A feature of every passage of a place: what place it is and how long, as a body of five words says more than a title of five."""
+    words = content.count(" ") + 1
+    return f"{kind} of {3 if words <= 3 else 8 if words <= 8 else 16 if words <= 16 else 40 if words <= 40 else 'many'}"
+
+
+def features(passage: str, place: str) -> list[str]:
+    """The place's extent; words and pairs of words with the passage's ends, marks of templates, the outline of short passages, repetition.
     Formulas are one mark, digits count by their number."""
     text = passage.lower()
     if "$" in text or "\\[" in text:
         text = _MATH.sub(" \\\\formula ", text)
     tokens = [_ZEROS[len(t)] if t.isdigit() and len(t) < 4 else t for t in _TOKEN.findall(text)]
-    out = tokens + [a + " " + b for a, b in zip(["^", *tokens], [*tokens, "$"])]
+    out = [place, *tokens] + [a + " " + b for a, b in zip(["^", *tokens], [*tokens, "$"])]
     if len(text) <= 60:
         if len(tokens) <= 5:
             out.append("whole " + " ".join(tokens))
@@ -157,17 +166,17 @@ class Model:
     odds: dict[str, float]
     prior: float
 
-    def score(self, passage: str) -> float:
+    def score(self, passage: str, place: str) -> float:
         get = self.odds.get
-        return self.prior + sum(get(f, 0.0) for f in features(passage))
+        return self.prior + sum(get(f, 0.0) for f in features(passage, place))
 
 
-def fit(positive: list[str], unlabelled: list[str], rounds: int = ROUNDS, prior: float = PRIOR) -> Model:
-    """Naive Bayes by expectation-maximization from trusted and unlabelled passages. Without trusted ones nothing is residue."""
+def fit(positive: list[tuple[str, str]], unlabelled: list[tuple[str, str]], rounds: int = ROUNDS, prior: float = PRIOR) -> Model:
+    """Naive Bayes by expectation-maximization from trusted and unlabelled passages, each with its place's extent. Without trusted ones nothing is residue."""
     if not positive:
         return Model({}, -math.inf)
     counted = Counter()
-    bags = [features(p) for p in positive] + [features(p) for p in unlabelled]
+    bags = [features(*p) for p in positive] + [features(*p) for p in unlabelled]
     for bag in bags:
         counted.update(set(bag))
     sure = {f for bag in bags[: len(positive)] for f in bag}
@@ -190,30 +199,32 @@ def fit(positive: list[str], unlabelled: list[str], rounds: int = ROUNDS, prior:
         total = yes + no
         pseudo = SMOOTHING * total / total.sum()
         odds = np.log((yes + pseudo) / (yes.sum() + SMOOTHING)) - np.log((no + pseudo) / (no.sum() + SMOOTHING))
-        score = np.bincount(row, weights=odds[column], minlength=n) + math.log(prior / (1 - prior))
+        score = np.bincount(row, weights=np.clip(odds, -MOST, MOST)[column], minlength=n) + math.log(prior / (1 - prior))
         updated = 1 / (1 + np.exp(-np.clip(score, -50, 50)))
         updated[updated < SURE] = 0.0  # what is in doubt stays with the other class
         updated[: len(positive)] = 1.0
         posterior = updated
     share = prior
+    odds = np.clip(odds, -MOST, MOST)
     return Model({f: float(odds[k]) for f, k in vocabulary.items()}, math.log(share / (1 - share)))
 
 
-def labelled(text: str | None) -> Iterator[tuple[bool, str]]:
-    """(trusted, passage) of a record. Only what opens a place can be trusted: forms of residue further on may be quoted."""
-    for _, content in places(text):
+def labelled(text: str | None) -> Iterator[tuple[bool, str, str]]:
+    """(trusted, passage, extent of its place) of a record. Only what opens a place can be trusted: forms of residue further on may be quoted."""
+    for kind, content in places(text):
         for k, passage in enumerate(passages(content)):
-            yield k == 0 and trusted(passage), passage
+            yield k == 0 and trusted(passage), passage, extent(kind, content)
 
 
 def residue_places(model: Model, text: str | None) -> list[tuple[str, float, str]]:
     """(kind, mean log odds, content) of the places that are residue."""
     out = []
     for kind, content in places(text):
+        place = extent(kind, content)
         odds, left = 0.0, (1 - MIN_PART) * (size := 1 + content.count(" "))
         for p in passages(content):
             weight = 1 + p.count(" ")
-            score = model.score(p)
+            score = model.score(p, place)
             odds += score * weight
             if score <= MIN_ODDS:
                 left -= weight
@@ -233,23 +244,19 @@ def learn(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> M
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flags, kept = [], []
-            for x in batch.column(1).to_pylist():
-                for sure, passage in labelled(x):
-                    if sure or zlib.crc32(passage.encode("utf-8", "replace")) % ONE_IN == 0:
-                        flags.append(sure)
-                        kept.append(passage[:4000])
-            yield pa.RecordBatch.from_arrays([pa.array(flags, pa.bool_()), pa.array(kept, pa.string())], names=["t", "p"])
+            kept = [(sure, passage, place) for x in batch.column(1).to_pylist() for sure, passage, place in labelled(x) if sure or zlib.crc32(passage.encode("utf-8", "replace")) % ONE_IN == 0]
+            columns = list(zip(*kept)) if kept else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.bool_()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], names=["t", "p", "e"])
 
     # Both limits bound what comes to the driver; ordered, so that the same data give the same model.
-    found = written(spread(rows).mapInArrow(run, "t boolean, p string").withColumn("h", F.xxhash64("p")), "residue-fit")
+    found = written(spread(rows).mapInArrow(run, "t boolean, p string, e string").withColumn("h", F.xxhash64("p")), "residue-fit")
     sample = {}
     for sure, most in ((True, MAX_TRUSTED), (False, MAX_UNLABELLED)):
         own = found.filter(F.col("t") == sure)
         n = own.count()
         if n > most:
             own = own.filter(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * most / n)).limit(most + most // 4)
-        sample[sure] = sorted(r["p"] for r in own.select("p").collect())
+        sample[sure] = sorted((r["p"], r["e"]) for r in own.select("p", "e").collect())
     return fit(sample[True], sample[False])
 
 

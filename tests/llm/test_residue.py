@@ -43,7 +43,7 @@ def corpus(seed, n, share):
 def test_held_out_accuracy():
     train, bad = corpus(1, 1500, 0.1)
     labelled = [p for _, x in train for p in R.labelled(x)]
-    model = R.fit([p for t, p in labelled if t], [p for t, p in labelled if not t])
+    model = R.fit([(p, e) for t, p, e in labelled if t], [(p, e) for t, p, e in labelled if not t])
     held, bad = corpus(2, 800, 0.1)
     found = {d for d, x in held if R.residue_places(model, x)}
     assert len(found & bad) >= 0.98 * len(bad) and len(found - bad) <= 0.01 * len(held)
@@ -56,7 +56,7 @@ def test_learns_what_no_pattern_says():
     train += [(5000 + k, article(rnd, body="Velun ipsum dolor sit amet, velun ipsum dolor.")) for k in range(12)]
     labelled = [p for _, x in train for p in R.labelled(x)]
     assert not R.trusted("Velun ipsum dolor sit amet, velun ipsum dolor.")
-    model = R.fit([p for t, p in labelled if t], [p for t, p in labelled if not t])
+    model = R.fit([(p, e) for t, p, e in labelled if t], [(p, e) for t, p, e in labelled if not t])
     assert R.residue_places(model, article(rnd, body="Velun ipsum dolor sit amet, velun ipsum dolor."))
 
 
