@@ -197,15 +197,22 @@ def ordered(df: DataFrame, field: str, kind: pa.DataType | None = None, names: l
     return df.orderBy(*sort_columns(field, floating), SOURCE, ROW)
 
 
-def merge_top_level_files(spark: SparkSession, paths: list[str], options: TopLevelOptions = TopLevelOptions()) -> Merged:
-    return read_files(spark, paths, top_level(options))
+def _in_input_order(merged: Merged) -> Merged:
+    return Merged(merged.frame.orderBy(SOURCE, ROW).drop(SOURCE, ROW), merged.schema, merged.misses, merged.hits)
 
 
-def merge_payload_files(spark: SparkSession, paths: list[str], options: PayloadOptions = PayloadOptions(), ordering_field: str | None = None) -> Merged:
-    """Under the payload contract; sorted, after each source's own order has been checked, if ``ordering_field`` is given."""
-    merged = read_files(spark, paths, payload(options), ordering_field is not None)
+def merge_top_level_files(spark: SparkSession, paths: list[str], options: TopLevelOptions = TopLevelOptions(), preserve_order: bool = False) -> Merged:
+    """Under the top-level contract; by file and then by row if the order is to be preserved, else as the scans come."""
+    merged = read_files(spark, paths, top_level(options), preserve_order)
+    return _in_input_order(merged) if preserve_order else merged
+
+
+def merge_payload_files(spark: SparkSession, paths: list[str], options: PayloadOptions = PayloadOptions(), ordering_field: str | None = None, preserve_order: bool = False) -> Merged:
+    """Under the payload contract. With ``ordering_field`` sorted by it, after each source's own order has been checked; else as for
+    the top-level contract."""
+    merged = read_files(spark, paths, payload(options), ordering_field is not None or preserve_order)
     if ordering_field is None:
-        return merged
+        return _in_input_order(merged) if preserve_order else merged
     if problem := order_key_error(merged.schema, ordering_field, options.payload_column):
         raise ValueError(problem)
     checked = merged.frame

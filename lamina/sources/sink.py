@@ -15,7 +15,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
 from lamina.operators.merge import merge_payload_files, merge_top_level_files
-from lamina.plans.options import ENCODABLE, ExecutionOptions, NdjsonOptions, PayloadOptions, TopLevelOptions
+from lamina.plans.options import ENCODABLE, ExecutionOptions, MergeOrder, NdjsonOptions, PayloadOptions, TopLevelOptions
 from lamina.sources import ndjson
 
 
@@ -178,7 +178,7 @@ def merge_top_level_parquet_files(spark: SparkSession, paths: list[str], output:
     if execution.ordering_field is not None:
         raise ValueError("ordering_field is only supported for payload parquet merges")
     began = time.time()
-    merged = merge_top_level_files(spark, paths, options)
+    merged = merge_top_level_files(spark, paths, options, execution.unordered_merge_order is MergeOrder.PRESERVE_INPUT_ORDER)
     planned = time.time()
     _write(merged.frame, output, execution, single_file)
     return _report(began, planned, paths, output, merged)
@@ -187,7 +187,7 @@ def merge_top_level_parquet_files(spark: SparkSession, paths: list[str], output:
 def merge_payload_parquet_files(spark: SparkSession, paths: list[str], output: str, options: PayloadOptions = PayloadOptions(), execution: ExecutionOptions = ExecutionOptions(), single_file: bool = True) -> Report:
     execution.check()
     began = time.time()
-    merged = merge_payload_files(spark, paths, options, execution.ordering_field)
+    merged = merge_payload_files(spark, paths, options, execution.ordering_field, execution.unordered_merge_order is MergeOrder.PRESERVE_INPUT_ORDER)
     planned = time.time()
     _write(merged.frame, output, execution, single_file)
     report = _report(began, planned, paths, output, merged)

@@ -8,7 +8,7 @@ import pytest
 from lamina.operators import derive, merge, validate
 from lamina.operators.adapt import PayloadPlan, adapt
 from lamina.operators.position import with_position
-from lamina.plans.options import ColumnOptions, Compression, Encoding, ExecutionOptions, TopLevelOptions, resolved_parallelism
+from lamina.plans.options import ColumnOptions, Compression, Encoding, ExecutionOptions, MergeOrder, TopLevelOptions, resolved_parallelism
 from lamina.sources import footers, sink
 
 LEFT = pa.schema([pa.field("event_id", pa.int64(), False), pa.field("org_id", pa.int64(), False), ("payload", pa.struct([("score", pa.int32()), ("profile", pa.struct([("name", pa.string())])), ("scores", pa.list_(pa.int32()))]))])
@@ -37,10 +37,12 @@ def test_top_level_files(spark, tmp_path):
     ]
     out = str(tmp_path / "out.parquet")
     report = sink.merge_top_level_parquet_files(spark, paths, out, execution=ExecutionOptions(writer_compression=Compression("snappy")))
-    rows = sorted(tuple(r.values()) for r in pq.read_table(out).to_pylist())
+    rows = [tuple(r.values()) for r in pq.read_table(out).to_pylist()]  # in the order of files and rows
     assert pq.read_schema(out).names == ["event_id", "score", "name", "age"]
     assert rows == [(1, 10.0, "alice", None), (2, None, "bob", None), (3, 30.0, "carol", None), (4, 44.5, None, 40), (5, 8.25, None, None), (6, 11.0, "dave", None), (7, 12.0, "erin", None)]
     assert (report.rows, report.adapter_cache_misses, report.adapter_cache_hits) == (7, 2, 1) and report.input_bytes > 0 and report.output_bytes == os.path.getsize(out)
+    sink.merge_top_level_parquet_files(spark, paths, out + "d", execution=ExecutionOptions(unordered_merge_order=MergeOrder.ALLOW_INTERLEAVED), single_file=False)
+    assert sorted(tuple(r.values()) for r in pq.read_table(out + "d").to_pylist()) == rows
     with pytest.raises(ValueError, match="ordering_field"):
         sink.merge_top_level_parquet_files(spark, paths, out, TopLevelOptions(), ExecutionOptions(ordering_field="event_id"))
     with pytest.raises(ValueError, match="at least one"):
