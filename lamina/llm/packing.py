@@ -147,5 +147,5 @@ def packed(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", cap
         out = pd.DataFrame({"doc_id": shard["doc_id"].to_numpy()[row[order]], "piece": piece[order], "container_id": (int(key[0]) << 32) + where[order], "slot": np.arange(len(order)) - begin, "start": before - before[begin], "from_token": piece[order] * capacity, "n_tokens": size[order]})
         return out
 
-    rows = rows.withColumn("h", F.xxhash64("doc_id"))
+    rows = rows.withColumn("h", F.xxhash64("doc_id")).repartition(shards, "shard")  # a number that is given isn't coalesced
     return rows.groupBy("shard").applyInPandas(run, f"doc_id {kind}, piece bigint, container_id bigint, slot bigint, start bigint, from_token bigint, n_tokens bigint").withColumnRenamed("doc_id", doc_id)
