@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lamina.operators import compact, drift, faulty_rows, sessions
 from lamina.session import table
@@ -39,7 +38,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_compacted(spark: SparkSession, d: str) -> DataFrame:
-    return compact.compact(table(spark, d, "tiny_rows")).destination
+    """The records of the few files that came out, with the place of the row that each was taken from."""
+    return compact.compact(table(spark, d, "tiny_rows")).destination.drop("file_no")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_loaded, p2_found, p2_table, p3_found, p3_by_type, p4_found, p4_compacted)}
@@ -78,5 +78,6 @@ SQL = {
     "p1_loaded": f"WITH {_TYPED} SELECT row_id, trim(c[1], ' ')::BIGINT AS event_id, trim(c[2], ' ')::INTEGER AS org_id, try_cast(nullif(trim(c[3], ' '), '') AS DOUBLE) AS score, c[4] AS name, try_cast(nullif(trim(c[5], ' '), '') AS INTEGER) AS age FROM judged WHERE reason IS NULL",
     "p3_found": f"WITH {_EVENTS} SELECT user_id, start_us, end_us, n_events FROM spans",
     "p3_by_type": f"WITH {_EVENTS} SELECT n.user_id, start_us, end_us, end_us - start_us AS duration_us, event_type, count(*) AS n_events FROM numbered n JOIN spans s ON n.user_id = s.user_id AND n.k = s.k GROUP BY ALL",
+    "p4_compacted": f"WITH {_RECORDS} SELECT file_id, row_no, event_id, org_id, payload, copies FROM ranked WHERE n = 1",
     "p4_found": f"WITH {_RECORDS} SELECT file_id, row_no FROM ranked WHERE n > 1",
 }
