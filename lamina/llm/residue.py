@@ -51,7 +51,8 @@ _TRUSTED = re.compile(
     |^\[\s*(?:insert|enter|put|add|your|type|write|paste|ins[eé]r|ingres|escrib|saisi|entre[rz]|hier|bitte)\b.{0,80}\]$
     |^(?:your|sample|replace|paste|enter|insert|type|put)\b.{0,60}\b(?:here|text|placeholder|dummy|field|paper|manuscript|report|article)\b.{0,60}$
     |^(?:x{2,}[\s.]*)+$|^(?:(\b\w+\b)[\s.,]*)(?:\1[\s.,]*){3,}$|^(?:undefined|null|nan|todo|tbd)$|^(?:(?:undefined|null|nan|none|todo|tbd)\s*){2,}$
-    |\blorem\s+ipsum\b|^\\(?:lipsum|blindtext|Blindtext|blinddocument|kant|Blinddocument)\b
+    |\blorem\s+ipsum\b|(?:\b(?:lorem|ipsum|amet|consectetur|adipiscing)\b.{0,120}?){2}|\bscript(?:s|ing)\s+(?:is|are)\s+(?:disabled|turned\s+off|switched\s+off|blocked|off)\b|\bbrowser\s+with\s+scripting\b
+    |^\\(?:lipsum|blindtext|Blindtext|blinddocument|kant|Blinddocument)\b
     |\bfirst\s*name,?\s+last\s*name\b|\b(?:dummy|filler|placeholder)\s+(?:text|content|copy|paragraph|goes)\b|\btexto\s+de\s+relleno\b|\btexte\s+(?:de\s+remplissage|factice)\b|\b(?:blind|f[uü]ll|platzhalter)text\b
     |\b(?:enable|activate|activer|aktivieren|activ[ae]r?|habilit\w+|requires?|switch\s+on|turn\s+on)\b.{0,40}\b(?:javascript|scripts?|cookies)\b
     |\bchecking\s+your\s+browser\b|\bunusual\s+traffic\b|\bnot\s+a\s+robot\b
