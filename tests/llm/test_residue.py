@@ -53,11 +53,11 @@ def test_learns_what_no_pattern_says():
     """A phrase that is never trusted, but shares words with such as are, is learned from unlabelled passages."""
     train, _ = corpus(3, 1200, 0.1)
     rnd = random.Random(9)
-    train += [(5000 + k, article(rnd, body="Velun ipsum dolor sit amet, velun ipsum dolor.")) for k in range(12)]
+    train += [(5000 + k, article(rnd, body="This is dummy layout for the text.")) for k in range(12)]
     labelled = [p for _, x in train for p in R.labelled(x)]
-    assert not R.trusted("Velun ipsum dolor sit amet, velun ipsum dolor.")
+    assert not R.trusted("This is dummy layout for the text.")
     model = R.fit([(p, e) for t, p, e in labelled if t], [(p, e) for t, p, e in labelled if not t])
-    assert R.residue_places(model, article(rnd, body="Velun ipsum dolor sit amet, velun ipsum dolor."))
+    assert R.residue_places(model, article(rnd, body="This is dummy layout for the text."))
 
 
 def test_places():
