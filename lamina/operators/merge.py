@@ -23,7 +23,6 @@ from lamina.operators.adapt import adapt
 from lamina.plans.options import PayloadOptions, TopLevelOptions
 from lamina.plans.types import schema_of
 from lamina.plans.widening import fold, merge_payload, merge_schemas, merge_top_level, shown
-from lamina.session import written
 from lamina.sources.footers import distinct_schemas
 
 #: Names of the columns that hold a row's source and place in it.
@@ -173,11 +172,10 @@ def disorder(df: DataFrame, field: str, source: str = SOURCE, row: str = ROW) ->
                 pa.array([e[0] for e in ends], held["s"].type), pa.array([e[1] for e in ends], pa.int64()), pa.array([False] * len(ends)), pa.array([e[2].as_py() for e in ends], kind),
                 pa.array([e[3].as_py() for e in ends], kind), pa.array([e[4] for e in ends], pa.int64())], names=out.names)
 
-    found = written(rows.mapInArrow(run, out), "disorder")
-    order = Window.partitionBy("s").orderBy("r")
-    ends = found.filter("not bad").withColumn("p", F.lag(F.struct("last")).over(order))
-    between = ends.filter(F.col("p").isNotNull() & F.coalesce((F.col("p.last").isNull() & F.col("first").isNotNull()) | (F.col("p.last") > F.col("first")), F.lit(False)))
-    return found.filter("bad").select("s", "r").unionByName(between.select("s", "r")).select(F.col("s").alias(source), F.col("r").alias(row))
+    ahead = Window.partitionBy("s").orderBy("r", "bad").rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.mapInArrow(run, out).withColumn("p", F.last(F.when(~F.col("bad"), F.struct("last")), ignorenulls=True).over(ahead))
+    falls = F.col("p").isNotNull() & F.coalesce((F.col("p.last").isNull() & F.col("first").isNotNull()) | (F.col("p.last") > F.col("first")), F.lit(False))
+    return found.filter(F.col("bad") | falls).select(F.col("s").alias(source), F.col("r").alias(row))
 
 
 def _falls(k: pa.Array) -> np.ndarray:
