@@ -82,10 +82,15 @@ def payload_union_nested(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_payload_table(spark: SparkSession, d: str) -> DataFrame:
-    """The three payload tables as one, under the join of their schemas."""
+    """The three payload tables as one, flattened as its SQL has it, of lists the lengths only; ``p2_payload_whole`` has the payload as it is."""
     return payload_union_nested(spark, d)
 
 
+def p2_payload_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The three payload tables as one, under the join of their schemas, with the payload as it is: lists with their elements."""
+    return _payloads(spark, d, *PAYLOADS).select("event_id", "org_id", "event_date", "payload")
+
+
 def payload_list_widen(spark: SparkSession, d: str) -> DataFrame:
     return _payloads(spark, d, "payload_left", "payload_right").select("event_id", F.posexplode("payload.scores").alias("place", "element"))
 
@@ -195,7 +200,7 @@ def _named(name: str, key: str, kind: pa.DataType):
 QUERIES = {f.__name__: f for f in (
     top_level_union_pragmatic, top_level_union_exact_safe, top_level_null_fill, interleaved_union, null_type_absorb, schema_union_nested, string_fallback, payload_union_nested, payload_list_widen,
     payload_sum_nested, payload_project_nested, *(_named(n, *x) for n, x in ORDERINGS.items()), ordered_sortedness_check, ndjson_compact, ndjson_compact_sorted, ndjson_discovered_schema,
-    multiset_diff, partition_columns, metadata_layout, p2_payload_changes, p2_payload_table,
+    multiset_diff, partition_columns, metadata_layout, p2_payload_changes, p2_payload_table, p2_payload_whole,
 )}
 
 _DISCOVERED = [

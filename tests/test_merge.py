@@ -197,3 +197,28 @@ def test_multisets_and_derived_columns(spark):
     df = spark.createDataFrame([(dt.datetime(2024, 5, 6, 7), 250, "DE"), (None, None, None)], "timestamp timestamp_ntz, org_id long, country string")
     rows = derive.partition_columns(df, "timestamp", "org_id", "country").collect()
     assert rows[0]["org_tier"] == "tier2" and tuple(rows[0]["partition_struct"]) == (2024, 5, 6, "DE", "tier2") and rows[1]["org_tier"] == "tier3"
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_whole_payload_of_three_tables_equals_sql(spark):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    data = "/root/testdata/sf0.001"
+    df = entry.queries()["p2_payload_whole"](spark, data)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema["payload"].dataType}
+    assert kinds == {"score": "double", "profile": "struct<name:string,tier:string,segment:string>", "scores": "array<double>", "amount": "int"}
+
+    def side(name, profile, scores, amount):
+        members = {"name": "NULL", "tier": "NULL", "segment": "NULL", profile: f"payload.profile.{profile}"}
+        struct = ", ".join(f"{k}: {v}::VARCHAR" for k, v in members.items())
+        return f"""SELECT event_id, org_id, event_date, CASE WHEN payload IS NOT NULL THEN {{score: payload.score::DOUBLE, profile: CASE WHEN payload.profile IS NOT NULL THEN {{{struct}}} END,
+          scores: {scores}::DOUBLE[], amount: {amount}::INTEGER}} END AS payload FROM '{data}/{name}.parquet'"""
+
+    sql = " UNION ALL ".join([side("payload_left", "name", "payload.scores", "NULL"), side("payload_right", "tier", "payload.scores", "payload.amount"), side("payload_mixed", "segment", "NULL", "payload.amount")])
+    want = sorted(repr(r) for r in duckdb.sql(sql).fetchall())
+    rows = [r.asDict(recursive=True) for r in df.collect()]
+    assert sorted(repr((r["event_id"], r["org_id"], r["event_date"], r["payload"])) for r in rows) == want
+    lists = [r["payload"]["scores"] for r in rows if r["payload"] and r["payload"]["scores"]]
+    assert any(None in x for x in lists) and all(isinstance(v, float) for x in lists for v in x if v is not None)
