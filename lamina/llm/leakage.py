@@ -109,16 +109,16 @@ def matches(items: Items, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return p, j, length
 
 
-def best_chain(runs: list[tuple[int, int, int]]) -> tuple[int, int, int, int, int]:
-    """Of matches (text place, item place, words): the chain in order with most words, as (words, item from, item to, text
-    from, text to). Overlaps count once."""
+def chains(runs: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """Of matches (text place, item place, words): the chains in order, most words first. Each match goes on from the one that
+    gives it most words; overlaps count once and are cut from the later match."""
     runs = sorted(runs)
-    best: list[tuple[int, int, int]] = []  # words, item from, text from
+    best: list[tuple[int, int, int]] = []  # words, the match before, words cut from this one
     first = 0
-    top = (0, 0, 0, 0, 0)
     longest = max(n for _, _, n in runs)
+    last = set(range(len(runs)))
     for k, (p, j, n) in enumerate(runs):
-        got = (n, j, p)
+        got = (n, -1, 0)
         while runs[first][0] < p - TEXT_GAP - longest:
             first += 1
         for m in range(first, k):
@@ -129,39 +129,101 @@ def best_chain(runs: list[tuple[int, int, int]]) -> tuple[int, int, int, int, in
             if over >= n or j - (i + l) > ITEM_GAP or p - (q + l) > TEXT_GAP:
                 continue
             if best[m][0] + n - over > got[0]:
-                got = (best[m][0] + n - over, best[m][1], best[m][2])
+                got = (best[m][0] + n - over, m, over)
+        last.discard(got[1])
         best.append(got)
-        if got[0] > top[0]:
-            top = (got[0], got[1], j + n, got[2], p + n)
-    return top
+    out = []
+    for k in sorted(last, key=lambda k: -best[k][0]):
+        chain = []
+        while k >= 0:
+            (p, j, n), (_, before, over) = runs[k], best[k]
+            chain.append((p + over, j + over, n - over))
+            k = before
+        out.append(chain[::-1])
+    return out
 
 
-def edges(items: Items, text: np.ndarray, chain: tuple[int, int, int, int, int], low: int, high: int) -> tuple[int, int, int]:
-    """The chain's words and span in the item, carried on over altered words at its ends: a word or two that match within
-    three words of it on both sides belong to it."""
-    got, j0, j1, p0, p1 = chain
-    for step in (-1, 1):
-        moved = True
-        while moved:
-            moved = False
-            j, p = (j0 - 1, p0 - 1) if step < 0 else (j1, p1)
-            for gap in range(1, 7):  # nearest first: the sum of both distances
-                for a in range(min(gap, 3) + 1):
-                    b = gap - a
-                    if b > 3:
-                        continue
-                    x, y = j + step * a, p + step * b
-                    if low <= x < high and 0 <= y < len(text) and items.text[x] == text[y] and items.text[x] > 0:
-                        got += 1
-                        if step < 0:
-                            j0, p0 = x, y
-                        else:
-                            j1, p1 = x + 1, y + 1
-                        moved = True
-                        break
-                if moved:
-                    break
-    return got, j0, j1
+def aligned(items: Items, text: np.ndarray, chain: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The chain as pairs (item place, text place) of single words in order, with the words that match between its matches."""
+    pairs: list[tuple[int, int]] = []
+    for p, j, n in chain:
+        if pairs:
+            (j0, p0), x = pairs[-1], items.text
+            pairs += [(j0 + 1 + a, p0 + 1 + b) for a, b in _common(x[j0 + 1 : j].tolist(), text[p0 + 1 : p].tolist())]
+        pairs += zip(range(j, j + n), range(p, p + n))
+    return pairs
+
+
+def _common(x: list[int], y: list[int]) -> list[tuple[int, int]]:
+    """The places of a longest common subsequence of known words."""
+    if not set(x) & set(y) - {0}:
+        return []
+    size = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for a in range(len(x) - 1, -1, -1):
+        for b in range(len(y) - 1, -1, -1):
+            size[a][b] = size[a + 1][b + 1] + 1 if x[a] == y[b] and x[a] > 0 else max(size[a + 1][b], size[a][b + 1])
+    out, a, b = [], 0, 0
+    while a < len(x) and b < len(y):
+        if x[a] == y[b] and x[a] > 0:
+            out.append((a, b))
+            a, b = a + 1, b + 1
+        elif size[a + 1][b] >= size[a][b + 1]:
+            a += 1
+        else:
+            b += 1
+    return out
+
+
+#: Where a match may go on over altered words: distances in item and text, nearest first by the sum of both.
+STEPS = [(a, gap - a) for gap in range(7) for a in range(min(gap, 3) + 1) if gap - a <= 3]
+
+
+def reach(items: Items, text: np.ndarray, j: np.ndarray, p: np.ndarray, step: int, low: np.ndarray, high: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many words ``edge`` adds to matches whose outermost words are at ``j`` and ``p``, inside [low, high) of the item and
+    [begin, end) of the text."""
+    count, j, p = np.zeros(len(j), np.int64), j.copy(), p.copy()
+    active = np.arange(len(j))
+    while len(active):
+        found = np.zeros(len(active), bool)
+        x0, y0 = j[active] + step, p[active] + step
+        for a, b in STEPS:
+            x, y = x0 + step * a, y0 + step * b
+            k = np.flatnonzero(~found & (x >= low[active]) & (x < high[active]) & (y >= begin[active]) & (y < end[active]))
+            k = k[(items.text[x[k]] == text[y[k]]) & (items.text[x[k]] > 0)]
+            found[k] = True
+            j[active[k]], p[active[k]] = x[k], y[k]
+        active = active[found]
+        count[active] += 1
+    return count
+
+
+def edge(items: Items, text: np.ndarray, pair: tuple[int, int], step: int, low: int, high: int, begin: int, end: int) -> list[tuple[int, int]]:
+    """What carries a chain on from its outermost pair, over altered words: words that match within three words on both sides."""
+    out = []
+    while True:
+        for a, b in STEPS:
+            x, y = pair[0] + step * (a + 1), pair[1] + step * (b + 1)
+            if low <= x < high and begin <= y < end and items.text[x] == text[y] and items.text[x] > 0:
+                pair = (x, y)
+                out.append(pair)
+                break
+        else:
+            return out
+
+
+def densest(places: list[int], least: float) -> tuple[int, int, int] | None:
+    """(words, item from, item to) of the stretch of the matching words that spans ``least`` words at MIN_DENSITY and holds most of them."""
+    j = np.array(places, np.int64)
+    top = None
+    for a in range(len(j)):
+        if top and len(j) - a <= top[0]:
+            break
+        span = j[a:] - j[a] + 1
+        count = np.arange(1, len(span) + 1)
+        good = np.flatnonzero((span >= least) & (count >= MIN_DENSITY * span))
+        if len(good) and (top is None or count[good[-1]] > top[0]):
+            top = (int(count[good[-1]]), int(j[a]), int(j[a + good[-1]]) + 1)
+    return top
 
 
 def shard_leaks(items: Items, ids: list, texts: list[str | None], min_share: float = MIN_SHARE) -> list[tuple]:
@@ -175,6 +237,7 @@ def shard_leaks(items: Items, ids: list, texts: list[str | None], min_share: flo
         owner.append(len(w))
     text = np.concatenate(parts) if parts else np.zeros(0, np.int64)
     doc_of = np.repeat(np.arange(len(texts)), owner)
+    ends_of = np.cumsum(owner)
     p, j, n = matches(items, text)
     if not len(p):
         return []
@@ -182,22 +245,27 @@ def shard_leaks(items: Items, ids: list, texts: list[str | None], min_share: flo
     order = np.lexsort((p, item, doc))
     p, j, n, doc, item = p[order], j[order], n[order], doc[order], item[order]
     cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])
-    total = np.add.reduceat(n, cut)
+    ends = np.r_[cut[1:], len(p)]
     wanted = min_share * items.length[item[cut]]
+    # No chain holds more words than all matches, all words between them and the furthest reach at both ends.
+    inside = (items.start[item], items.start[item] + items.length[item], ends_of[doc] - np.array(owner)[doc], ends_of[doc])
+    most = np.add.reduceat(n, cut) + ITEM_GAP * (ends - cut - 1)
+    most += np.maximum.reduceat(reach(items, text, j, p, -1, *inside), cut) + np.maximum.reduceat(reach(items, text, j + n - 1, p + n - 1, 1, *inside), cut)
     out = []
-    ends = np.r_[cut[1:], len(p)]
-    for c in np.flatnonzero(total >= np.maximum(MIN_WORDS, wanted * MIN_DENSITY)):
+    for c in np.flatnonzero(most >= np.maximum(MIN_WORDS, wanted * MIN_DENSITY)):
         s = slice(cut[c], ends[c])
         d, i = int(doc[cut[c]]), int(item[cut[c]])
-        runs = list(zip(p[s].tolist(), j[s].tolist(), n[s].tolist()))
-        chain = best_chain(runs)
-        low = int(items.start[i])
-        length = int(items.length[i])
-        got, a, b = chain[:3]
-        if (b - a) < min_share * length:
-            got, a, b = edges(items, text, chain, low, low + length)
-        if (b - a) >= min_share * length and got >= MIN_DENSITY * (b - a):
-            out.append((ids[d], items.ids[i], (b - a) / length, got, int(n[s].max()), a - low, b - low))
+        low, high, begin, end = (int(x[cut[c]]) for x in inside)
+        for chain in chains(list(zip(p[s].tolist(), j[s].tolist(), n[s].tolist()))):
+            pairs = aligned(items, text, chain)
+            pairs = edge(items, text, pairs[0], -1, low, high, begin, end)[::-1] + pairs + edge(items, text, pairs[-1], 1, low, high, begin, end)
+            if len(pairs) < MIN_DENSITY * wanted[c]:
+                continue
+            found = densest([x for x, _ in pairs], float(wanted[c]))
+            if found:
+                got, a, b = found
+                out.append((ids[d], items.ids[i], (b - a) / (high - low), got, int(n[s].max()), a - low, b - low))
+                break
     return out
 
 

@@ -96,3 +96,38 @@ def test_empty_tables(spark, empty):
     df = spark.createDataFrame([] if empty == "documents" else [(1, "a b c d")], "doc_id long, text string")
     ev = spark.createDataFrame([] if empty == "items" else [(1, "a b c d")], "item_id long, item_text string")
     assert L.leaks(df, ev).count() == 0
+
+
+def found(item, doc):
+    items = L.Items.of([(1, " ".join(item))])
+    return L.shard_leaks(items, [1], [" ".join(doc)])
+
+
+def altered(item, runs):
+    """The item from its first word on, of which runs of so many words are kept, split by one altered word each."""
+    out, at = [], 0
+    for k, n in enumerate(runs):
+        out += ["zz"] * (k > 0) + item[at + (k > 0) : at + (k > 0) + n]
+        at += n + (k > 0)
+    return ["yy"] * 50 + out + ["yy"] * 50
+
+
+def test_short_runs_inside_a_passage_match_too():
+    item = [f"i{k}" for k in range(30)]
+    assert [r[3:4] + r[5:] for r in found(item, altered(item, [3, 2, 3, 2, 3]))] == [(13, 0, 17)]
+    assert [r[3:4] + r[5:] for r in found(item[:16], altered(item, [4, 2]))] == [(6, 0, 7)]
+    assert not found(item, altered(item, [3, 2, 3]))  # ten of thirty words
+
+
+def test_dense_part_of_a_sparse_chain_is_found():
+    item = [f"i{k}" for k in range(40)]
+    # 17 words verbatim, then twice three after eight altered ones: 23 of 39 words are too few, 20 of the first 28 are enough.
+    doc = ["yy"] * 30 + item[:17] + ["zz"] * 8 + item[25:28] + ["zz"] * 8 + item[36:39] + ["yy"] * 30
+    assert [r[3:4] + r[5:] for r in found(item, doc)] == [(20, 0, 28)]
+    assert not found(item, item[:9] + ["zz"] * 8 + item[17:20])
+
+
+def test_passages_end_with_their_document():
+    item = [f"i{k}" for k in range(30)]
+    items = L.Items.of([(1, " ".join(item))])
+    assert not L.shard_leaks(items, [1, 2], [" ".join(["yy", *item[:10]]), " ".join([*item[10:15], "yy"])])
