@@ -119,11 +119,14 @@ def compact(df: DataFrame, order: tuple[str, str] = ("file_id", "row_no"), dims:
     )
     placed.repartitionById(files, F.col("file_no")).sortWithinPartitions("__code", *dims).drop("__digest", "__code").write.parquet(path)
     destination = spark.read.schema(placed.drop("__digest", "__code").schema).parquet(path)
-    source = kept.agg(*_fingerprint(*key), F.sum("copies").alias("rows")).first()
-    # What was written is digested anew.
-    written = _coded(destination.select(*dims, payload), dims, payload, low, high).agg(*_fingerprint(*key)).first()
+    # Both sides are digested anew: the source's rows, not what was staged of them, and the files that were written.
+    count = F.count(F.lit(1)).alias("rows")
+    source = _coded(spread(rows), dims, payload, low, high).groupBy(*key).agg(count).agg(*_fingerprint(*key), F.sum("rows").alias("rows")).first()
+    written = _coded(destination.select(*dims, payload, "copies"), dims, payload, low, high).agg(*_fingerprint(*key), F.sum("copies").alias("rows")).first()
     if (source["n"], source["h"]) != (written["n"], written["h"]):
         raise DigestMismatch(f"source has {source['n']} records, hash {source['h']}; destination {written['n']}, hash {written['h']}")
+    if source["rows"] != written["rows"]:
+        raise DigestMismatch(f"source has {source['rows']} rows; the records of the destination stand for {written['rows']}")
     return Compaction(destination, path, files, source["n"], source["rows"] or 0)
 
 

@@ -85,6 +85,25 @@ def test_lost_records_are_noticed(spark, monkeypatch):
         C.compact(spark.createDataFrame(rows(), SCHEMA))
 
 
+@pytest.mark.parametrize("change,what", [("event_id = 7", "records"), ("copies > 1", "rows")])
+def test_what_is_lost_before_staging_is_noticed(spark, monkeypatch, change, what):
+    from pyspark.sql import DataFrame, DataFrameReader
+    from pyspark.sql import functions as F
+
+    parquet = DataFrameReader.parquet
+
+    def lossy(self, *paths, **how) -> DataFrame:
+        df = parquet(self, *paths, **how)
+        if not paths[0].endswith(".records"):
+            return df
+        return df.filter(f"not coalesce({change}, false)") if what == "records" else df.withColumn("copies", F.expr(f"if({change}, copies - 1, copies)"))
+
+    # What is staged lacks records, or counts a row too few.
+    monkeypatch.setattr(DataFrameReader, "parquet", lossy)
+    with pytest.raises(C.DigestMismatch, match=what):
+        C.compact(spark.createDataFrame(rows(), SCHEMA))
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert C.compact(df).records == 0
