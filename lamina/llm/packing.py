@@ -93,6 +93,7 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
         container[k] = which
     loose = {c for level in range(1, int(FULL_ENOUGH * capacity)) for c in opened[level]}
     if loose:
+        first = container.copy()
         free = sorted(loose, reverse=True)
         again = np.flatnonzero(np.isin(container, list(loose)) & (sizes > 0))
         again = again[np.lexsort((again, -sizes[again]))]
@@ -106,8 +107,11 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
                 level = int(fits[-1]) + 1
                 which = opened[level].pop()
                 count[level] -= 1
-            else:
+            elif free:
                 which, level = free.pop(), 0
+            else:
+                container = first  # best fit would need more containers than are loose
+                break
             opened[level + s].append(which)
             count[level + s] += 1
             container[k] = which

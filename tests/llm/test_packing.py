@@ -27,6 +27,12 @@ def test_little_space_is_left():
     assert got.max() + 1 <= 1.015 * best
 
 
+def test_the_first_packing_stays_where_the_second_needs_more():
+    sizes = np.array([1700, 1150, 1150, 1350, 1350, 1310], np.int64)
+    got = K.pack(sizes)
+    assert np.bincount(got, weights=sizes).tolist() == [4000.0, 4010.0]
+
+
 def packed(spark, rows, **how):
     df = spark.createDataFrame([(d, x, 1, "s") for d, x in rows], "doc_id long, text string, slot int, shard string")
     return K.packed(df, **how)
