@@ -13,6 +13,7 @@ import hashlib
 import json
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -297,9 +298,28 @@ def unified(df: DataFrame, file: tuple[str, str] = ("feed", "file_no"), line: st
     return out.select(first, number, position, *[F.col("__env")[n].try_cast(t).alias(n) for n, t in envelope], root)
 
 
-def schema_changes(spark, schemas: list[tuple[str, T.DataType]], root: str = "payload") -> DataFrame:
-    """(``file``, ``step``, ``change_kind``, ``field_path``, ``old_type``, ``new_type``): the ordered differences of each typed file's schema from the
-    one before it. Here schemas alone are known, so a renamed column is one removed and one added."""
+def _renames(old: DataFrame, new: DataFrame, pairs: list[tuple], event_id: str) -> list[tuple]:
+    """Of pairs (old path, new path) those with equal values: at least two events have values at both, and all agree. Both tables are
+    combined per event before they are joined."""
+    def side(df: DataFrame, name: str, paths: list[tuple]) -> DataFrame:
+        at = [reduce(lambda c, part: c[part], p[1:], F.col(p[0])) for p in paths]
+        return df.filter(F.col(event_id).isNotNull()).groupBy(F.col(event_id).alias("e")).agg(*[f(c).alias(f"{name}{end}{k}") for k, c in enumerate(at) for f, end in ((F.min, "lo"), (F.max, "hi"))])
+
+    before, after = sorted({p for p, _ in pairs}), sorted({q for _, q in pairs})
+    both, found = side(old, "p", before).join(side(new, "q", after), "e"), []
+    for k, (p, q) in enumerate(pairs):
+        i, j = before.index(p), after.index(q)
+        lo, hi, new_lo, new_hi = (F.col(c) for c in (f"plo{i}", f"phi{i}", f"qlo{j}", f"qhi{j}"))
+        has = lo.isNotNull() & new_lo.isNotNull()
+        found += [F.count_if(has).alias(f"n{k}"), F.min(F.when(has, (lo == hi) & (new_lo == new_hi) & (lo == new_lo))).alias(f"equal{k}")]
+    row = both.agg(*found).first()
+    return [pair for k, pair in enumerate(pairs) if row[f"n{k}"] >= 2 and row[f"equal{k}"]]
+
+
+def schema_changes(tables: list[tuple[str, DataFrame]], root: str = "payload", event_id: str = "event_id") -> DataFrame:
+    """(``file``, ``step``, ``change_kind``, ``field_path``, ``old_type``, ``new_type``): the ordered differences of each typed table's schema from
+    the one before it. A path that went and one that came under the same parent and with the same type are one ``renamed``, its ``field_path``
+    ``old -> new``, where at least two events of both tables have values at both and all are equal."""
     from lamina.plans.types import from_spark
     from lamina.plans.widening import shown
 
@@ -308,18 +328,31 @@ def schema_changes(spark, schemas: list[tuple[str, T.DataType]], root: str = "pa
             return f"List({name(kind.elementType)})"
         return "Struct" if isinstance(kind, T.StructType) else shown(from_spark(kind))
 
-    def walk(path: str, old: T.DataType, new: T.DataType) -> Iterator[tuple]:
+    def walk(path: tuple, old: T.DataType, new: T.DataType) -> Iterator[tuple]:
         if isinstance(old, T.StructType) and isinstance(new, T.StructType):
             for f in old.fields:
                 if f.name in new.names:
-                    yield from walk(f"{path}.{f.name}", f.dataType, new[f.name].dataType)
+                    yield from walk((*path, f.name), f.dataType, new[f.name].dataType)
                 else:
-                    yield "removed", f"{path}.{f.name}", name(f.dataType), ""
+                    yield "removed", (*path, f.name), name(f.dataType), "", f.dataType
             for f in new.fields:
                 if f.name not in old.names:
-                    yield "added", f"{path}.{f.name}", "", name(f.dataType)
+                    yield "added", (*path, f.name), "", name(f.dataType), f.dataType
         elif name(old) != name(new):
-            yield "retyped", path, name(old), name(new)
-
-    rows = [(file, k, *change) for (_, old), (file, new) in zip(schemas, schemas[1:]) for k, change in enumerate(walk(root, old, new), 1)]
+            yield "retyped", path, name(old), name(new), new
+
+    rows = []
+    for (_, old), (file, new) in zip(tables, tables[1:]):
+        changes = list(walk((root,), old.schema[root].dataType, new.schema[root].dataType))
+        gone, come = ([c for c in changes if c[0] == kind] for kind in ("removed", "added"))
+        pairs = [(p[1], q[1]) for p in gone for q in come if p[1][:-1] == q[1][:-1] and p[4].simpleString() == q[4].simpleString()]
+        renamed = _renames(old, new, pairs, event_id) if pairs else []
+        moved = {("removed", p) for p, _ in renamed} | {("added", q) for _, q in renamed}
+        step = 0
+        for kind, path, before, after, _ in changes:
+            listed = [("renamed", f"{'.'.join(path)} -> {'.'.join(q)}", before, before) for p, q in renamed if kind == "removed" and p == path]
+            for change in listed or ([] if (kind, path) in moved else [(kind, ".".join(path), before, after)]):
+                step += 1
+                rows.append((file, step, *change))
+    spark = tables[0][1].sparkSession
     return spark.createDataFrame(rows, "file string, step int, change_kind string, field_path string, old_type string, new_type string")

@@ -186,7 +186,7 @@ def p2_payload_changes(spark: SparkSession, d: str) -> DataFrame:
     """What changes in the payload from each of the three tables to the next."""
     from lamina.operators.drift import schema_changes
 
-    return schema_changes(spark, [(n, table(spark, d, n).schema["payload"].dataType) for n in PAYLOADS])
+    return schema_changes([(n, table(spark, d, n)) for n in PAYLOADS])
 
 
 def _named(name: str, key: str, kind: pa.DataType):

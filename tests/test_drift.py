@@ -115,3 +115,12 @@ def test_one_table(spark):
 def test_empty_table(spark):
     assert changes(spark, {}) == []
     assert D.unified(frame(spark, {})).count() == 0
+
+
+def test_renames_between_typed_tables_are_checked_by_value(spark):
+    from lamina.operators.drift import schema_changes
+
+    old = spark.createDataFrame([(1, ("a", "x", 1)), (2, ("b", "y", 2)), (2, ("b", "y", 2)), (3, (None, "z", 3)), (None, ("q", "q", 0))], "event_id long, payload struct<name:string,note:string,n:int>")
+    new = spark.createDataFrame([(2, ("b", "u", 2)), (1, ("a", "x", 1)), (3, ("c", "z", 3)), (9, ("k", "k", 4))], "event_id long, payload struct<title:string,remark:string,n:int>")
+    got = [tuple(r) for r in schema_changes([("old", old), ("new", new)]).collect()]
+    assert got == [("new", 1, "renamed", "payload.name -> payload.title", "Utf8", "Utf8"), ("new", 2, "removed", "payload.note", "Utf8", ""), ("new", 3, "added", "payload.remark", "", "Utf8")]
