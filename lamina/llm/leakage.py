@@ -1,8 +1,8 @@
 """Held-out items whose passages stand in training texts.
 
-The training texts are cut into shards, one per Arrow batch. Each shard gets a suffix array over words, sparse in that
-it leaves out the suffixes that share not even their first MIN_WORDS words with any item. Every suffix of every item is
-looked up by binary search; a hit is extended to the longest verbatim match. Matches of one document and item are then
+The training texts are cut into shards, one per Arrow batch. In each shard the places of words are sorted by their first
+MIN_WORDS words (in no order beyond these), without those whose first words no item shares. Every suffix of every item is
+looked up by binary search; every hit is extended word by word to the longest verbatim match. Matches of one document and item are then
 chained in order, with gaps as small changes of wording and markup leave them; the share of the item that the best chain
 spans decides. Shards are independent: nothing is shuffled, and a text that is copied a million times costs no pairs.
 """
@@ -87,7 +87,7 @@ def matches(items: Items, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     at = np.minimum(np.searchsorted(known, key), len(known) - 1)
     hit = known[at] == key
     place, key = place[hit], key[hit]
-    order = np.argsort(key, kind="stable")  # the shard's suffix array
+    order = np.argsort(key, kind="stable")  # by the first words only
     place, key = place[order], key[order]
     low, high = np.searchsorted(key, items.keys, "left"), np.searchsorted(key, items.keys, "right")
     count = high - low
