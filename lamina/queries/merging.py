@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import pathlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -130,7 +131,13 @@ def _event_lines(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     line = F.when(F.col("event_id") % 2 == 0, F.to_json(F.struct("event_id", "user_id", F.col("event_type").alias("kind"), F.col("user_id").alias("score"), F.struct(F.col("event_type").alias("name")).alias("profile"))))
     line = line.otherwise(F.to_json(F.struct(F.col("value").alias("score"), F.struct(F.col("user_id").alias("tier")).alias("profile"), "event_id", F.array("user_id", "event_id").alias("scores"))))
-    return e.select(line.alias("line"), F.pmod("event_id", F.lit(2)).cast("int").alias("__source"), F.lit(0).cast("long").alias("__block"), F.col("event_id").alias("__at"), F.lit("events").alias("__file"))
+    # Both kinds of lines become files in the shared folder, in the order of the events, and are read as any others.
+    paths = []
+    for k in range(2):
+        path = fresh_path(spark, f"event-lines-{k}")
+        e.filter(F.pmod("event_id", F.lit(2)) == k).orderBy("event_id").select(line.alias("line")).write.text(path)
+        paths += sorted(map(str, pathlib.Path(path.replace("file://", "").replace("file:", "")).glob("*.txt")))
+    return ndjson.lines(spark, paths)
 
 
 def ndjson_compact(spark: SparkSession, d: str) -> DataFrame:
@@ -174,8 +181,6 @@ def partition_columns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def metadata_layout(spark: SparkSession, d: str) -> DataFrame:
-    import pathlib
-
     path = fresh_path(spark, "layout")
     table(spark, d, "payload_right").write.parquet(path)
     folder = pathlib.Path(path.replace("file://", "").replace("file:", ""))

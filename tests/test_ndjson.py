@@ -102,3 +102,18 @@ def test_never_seen_fields_and_empty_input(spark, tmp_path):
 def test_options(how, text):
     with pytest.raises(ValueError, match=text):
         NdjsonOptions(**how).check()
+
+
+def test_registered_queries_read_files(spark, monkeypatch):
+    import os
+
+    import __spark_entry__ as entry
+    from lamina.sources import ndjson
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables here")
+    good, seen = ndjson.lines, []
+    monkeypatch.setattr(ndjson, "lines", lambda spark, paths: seen.append(paths) or good(spark, paths))
+    for name in ("ndjson_compact", "ndjson_compact_sorted"):
+        assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(seen) == 2 and all(len(paths) >= 2 for paths in seen)
