@@ -1,15 +1,18 @@
 """Held-out items whose passages stand in training texts.
 
-The training texts are cut into shards, one per Arrow batch. In each shard the places of words are sorted by their first
-MIN_WORDS words (in no order beyond these), without those whose first words no item shares. Every suffix of every item is
-looked up by binary search; every hit is extended word by word to the longest verbatim match. Matches of one document and item are then
-chained in order, with gaps as small changes of wording and markup leave them; the share of the item that the best chain
-spans decides. Shards are independent: nothing is shuffled, and a text that is copied a million times costs no pairs.
+The training texts are cut into shards. The words of a shard are numbered and their suffixes sorted by prefix doubling: a suffix
+array, of which those suffixes are kept whose first MIN_WORDS words stand in some item, as no other can match. Every suffix of
+every item is searched in it by bisection, one word deeper at a time: the intervals of places that share its first words shrink
+until none is left, which gives its longest verbatim match, all places of it, and the length of every shorter match. Intervals are
+turned into places for a bounded number of them at once. Matches of one document and item are then chained in order, with gaps as
+small changes of wording and markup leave them; the share of the item that the best chain spans decides. Shards are independent:
+nothing is shuffled, and a text that is copied a million times costs no pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,11 +36,18 @@ MIN_DENSITY = 0.65
 BLOCK_CHARS = 16 << 20
 #: Characters of one shard.
 SHARD_CHARS = 4 << 20
+#: So many places of matches at most are held at once.
+PLACES_AT_ONCE = 1 << 20
+
+
+def plain_words(text: str | None) -> list[str]:
+    """Runs of ASCII letters and digits, in lower case; nothing is known of markup."""
+    return [w.lower() for w in re.findall("[A-Za-z0-9]+", text or "")]
 
 
 @dataclass
 class Items:
-    """The suffixes of a block of items, sorted by their first words."""
+    """A block of items as one array of word numbers, with the numbers of their first words."""
 
     ids: list
     vocabulary: dict[str, int]
@@ -45,68 +55,158 @@ class Items:
     owner: np.ndarray  # of each word, the item's index
     start: np.ndarray  # of each item, its first word
     length: np.ndarray
-    keys: np.ndarray  # sorted, of the suffixes
-    suffix: np.ndarray  # their places
+    pairs: np.ndarray  # the distinct pairs of neighbouring words
+    known: np.ndarray  # the distinct keys of three neighbouring words
+    suffix: np.ndarray  # places from which at least MIN_WORDS words are left
+    key: np.ndarray  # of each suffix, its first three words
 
     @classmethod
-    def of(cls, rows: list[tuple]) -> Items:
+    def of(cls, rows: list[tuple], split: Callable[[str | None], list[str]] = words) -> Items:
         vocabulary: dict[str, int] = {}
         text, owner, start, length = [], [], [], []
         for k, (_, item) in enumerate(rows):
-            w = [vocabulary.setdefault(x, len(vocabulary) + 1) for x in words(item)]
+            w = [vocabulary.setdefault(x, len(vocabulary) + 1) for x in split(item)]
             start.append(len(text))
             length.append(len(w))
             text += [*w, 0]
             owner += [k] * (len(w) + 1)
-        items = cls([r[0] for r in rows], vocabulary, np.array(text or [0], np.int64), np.array(owner or [0], np.int64), np.array(start, np.int64), np.array(length, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        place, key = items.keyed(items.text)
-        order = np.argsort(key, kind="stable")
-        items.keys, items.suffix = key[order], place[order]
+        none = np.zeros(0, np.int64)
+        items = cls([r[0] for r in rows], vocabulary, np.array(text or [0], np.int64), np.array(owner or [0], np.int64), np.array(start, np.int64), np.array(length, np.int64), none, none, none, none)
+        items.pairs = np.unique(items._pair(items.text)[1])
+        items.suffix, items.key = items.keyed(items.text)
+        items.known = np.unique(items.key)
         return items
 
+    def _pair(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.flatnonzero((text[:-1] > 0) & (text[1:] > 0))
+        return place, text[place] * (len(self.vocabulary) + 1) + text[place + 1]
+
     def keyed(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places whose next MIN_WORDS words are all known, and these words as one number."""
-        n = len(text) - MIN_WORDS + 1
-        if n <= 0:
+        """Places whose next three words may begin a match, and these words as one number: of their pair, which is one of the items', and
+        of the third. Numbers are in the order of the words and can't overflow."""
+        if not len(self.pairs):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        known = text > 0
-        place = np.flatnonzero(np.logical_and.reduce([known[k : n + k] for k in range(MIN_WORDS)]))
-        key, base = text[place], len(self.vocabulary) + 1
-        for k in range(1, MIN_WORDS):
-            key = key * base + text[place + k]
-        return place, key
-
-
-def matches(items: Items, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All longest verbatim matches: (place in ``text``, place in the items, words)."""
+        place, pair = self._pair(text)
+        inside = place + 2 < len(text)
+        place, pair = place[inside], pair[inside]
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        hit = (self.pairs[at] == pair) & (text[place + 2] > 0)
+        place = place[hit]
+        return place, at[hit] * (len(self.vocabulary) + 1) + text[place + 2]
+
+
+def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
+    """Numbers in the order of the suffixes by their first ``depth`` words at least; a zero ends a suffix. By prefix doubling: suffixes
+    that agree in h words are sorted by what stands h words on, until they differ, end or are deep enough."""
+    n = len(text)
+    order = np.argsort(text, kind="stable")
+    value = text[order]
+    first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if n else np.zeros(0, np.int64)
+    size = np.diff(np.r_[first, n])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.repeat(first, size)
+    ends = np.flatnonzero(text == 0)
+    left = np.r_[ends, n][np.searchsorted(ends, np.arange(n))] - np.arange(n)  # words before the next zero
+    live = order[np.repeat(size > 1, size)]
+    h = 1
+    while h < depth and len(live):
+        live = live[left[live] >= h]  # what ended before is told from the rest already
+        on = live + h
+        beyond = np.where(on < n, rank[np.minimum(on, n - 1)], -1)
+        beyond = np.where(left[live] > h, beyond, -1)
+        by = np.lexsort((beyond, rank[live]))
+        live, beyond = live[by], beyond[by]
+        group = rank[live]
+        starts = np.r_[True, group[1:] != group[:-1]][: len(live)]
+        cuts = starts | np.r_[True, beyond[1:] != beyond[:-1]][: len(live)]
+        at = np.arange(len(live))
+        head, cut = np.maximum.accumulate(np.where(starts, at, 0)), np.maximum.accumulate(np.where(cuts, at, 0))
+        rank[live] = group + cut - head
+        same = np.bincount(cut, minlength=len(live))[cut] if len(live) else at
+        live = live[(same > 1) & (beyond >= 0)]
+        h *= 2
+    return rank
+
+
+def _bisected(words_at: np.ndarray, low: np.ndarray, high: np.ndarray, word: np.ndarray, right: bool) -> np.ndarray:
+    """In each interval [low, high) of a sorted array, where ``word`` would stand."""
+    low, high = low.copy(), high.copy()
+    todo = np.flatnonzero(low < high)
+    while len(todo):
+        middle = (low[todo] + high[todo]) >> 1
+        found = words_at(todo, middle)
+        less = found <= word[todo] if right else found < word[todo]
+        low[todo] = np.where(less, middle + 1, low[todo])
+        high[todo] = np.where(less, high[todo], middle)
+        todo = todo[low[todo] < high[todo]]
+    return low
+
+
+def intervals(items: Items, text: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The suffix array of ``text``, and (place in the items, from, to, words): the intervals of it whose suffixes agree with the item's in
+    exactly so many words, for every suffix of every item; those with most words hold its longest match."""
+    none = np.zeros(0, np.int64)
     place, key = items.keyed(text)
-    if not len(place) or not len(items.keys):
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    known = np.unique(items.keys)
-    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-    hit = known[at] == key
-    place, key = place[hit], key[hit]
-    order = np.argsort(key, kind="stable")  # by the first words only
-    place, key = place[order], key[order]
-    low, high = np.searchsorted(key, items.keys, "left"), np.searchsorted(key, items.keys, "right")
-    count = high - low
-    j = np.repeat(items.suffix, count)
-    p = place[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
-    # A match that could begin a word earlier is part of a longer one.
-    before_p, before_j = text[np.maximum(p - 1, 0)], items.text[np.maximum(j - 1, 0)]
-    begins = (p == 0) | (j == 0) | (before_p != before_j) | (before_j == 0)
-    p, j = p[begins], j[begins]
-    length = np.full(len(p), MIN_WORDS, np.int64)
-    active = np.arange(len(p))
-    while len(active):
-        a, b = p[active] + length[active], j[active] + length[active]
-        inside = (a < len(text)) & (b < len(items.text))
-        same = np.zeros(len(active), bool)
-        same[inside] = (text[a[inside]] == items.text[b[inside]]) & (items.text[b[inside]] > 0)
-        active = active[same]
-        length[active] += 1
-    return p, j, length
+    if len(place) and len(items.known):
+        at = np.minimum(np.searchsorted(items.known, key), len(items.known) - 1)
+        hit = items.known[at] == key
+        place, key = place[hit], key[hit]
+    if not len(place) or not len(items.suffix):
+        return none, (none, none, none, none)
+    order = np.argsort(suffix_ranks(text, int(items.length.max()))[place], kind="stable")
+    array, key = place[order], key[order]
+    j = items.suffix
+    low, high = np.searchsorted(key, items.key, "left"), np.searchsorted(key, items.key, "right")
+    there = low < high
+    j, low, high = j[there], low[there], high[there]
+    found: list[tuple[np.ndarray, ...]] = []
+    depth = MIN_WORDS
+    while len(j):
+        word = items.text[np.minimum(j + depth, len(items.text) - 1)]
+
+        def at_depth(which: np.ndarray, middle: np.ndarray) -> np.ndarray:
+            on = array[middle] + depth
+            return np.where(on < len(text), text[np.minimum(on, len(text) - 1)], 0)
+
+        inner, outer = _bisected(at_depth, low, high, word, False), _bisected(at_depth, low, high, word, True)
+        ended = word == 0
+        inner, outer = np.where(ended, high, inner), np.where(ended, high, outer)
+        for a, b in ((low, inner), (outer, high)):
+            some = a < b
+            found.append((j[some], a[some], b[some], np.full(int(some.sum()), depth)))
+        on = inner < outer
+        j, low, high = j[on], inner[on], outer[on]
+        depth += 1
+    return array, tuple(np.concatenate(c) for c in zip(*found))
+
+
+def matches(items: Items, text: np.ndarray, min_words: int = MIN_WORDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All longest verbatim matches of at least ``min_words``: (place in ``text``, place in the items, words), all of an item together. What
+    is held is bounded: intervals are turned into places for PLACES_AT_ONCE of them, and a match that could begin a word earlier is
+    dropped before the next ones follow."""
+    array, (j, low, high, depth) = intervals(items, text)
+    enough = depth >= min_words
+    order = np.argsort(items.owner[j[enough]], kind="stable")
+    j, low, high, depth = (x[enough][order] for x in (j, low, high, depth))
+    total = np.cumsum(high - low)
+    item = items.owner[j]
+    held: list[tuple[np.ndarray, ...]] = []
+    begin = 0
+    while begin < len(j):
+        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + PLACES_AT_ONCE, "right")))
+        if end < len(j) and item[end - 1] == item[end] and item[begin] != item[end]:
+            end = int(np.searchsorted(item, item[end]))  # up to the last whole item
+        count = high[begin:end] - low[begin:end]
+        own = np.repeat(j[begin:end], count)
+        p = array[np.repeat(low[begin:end] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        n = np.repeat(depth[begin:end], count)
+        before_p, before_j = text[np.maximum(p - 1, 0)], items.text[np.maximum(own - 1, 0)]
+        begins = (p == 0) | (own == 0) | (before_p != before_j) | (before_j == 0)
+        held.append((p[begins], own[begins], n[begins]))
+        if end == len(j) or item[end - 1] != item[end]:
+            yield tuple(np.concatenate(c) for c in zip(*held))
+            held = []
+        begin = end
 
 
 def chains(runs: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
@@ -226,29 +326,33 @@ def densest(places: list[int], least: float) -> tuple[int, int, int] | None:
     return top
 
 
+def numbered(items: Items, texts: list[str | None], split: Callable[[str | None], list[str]] = words) -> tuple[np.ndarray, np.ndarray]:
+    """A shard's word numbers, zero for words that no item has and between texts; and where each text ends."""
+    get = items.vocabulary.get
+    parts = [np.array([*[get(x, 0) for x in split(text)], 0], np.int64) for text in texts]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64), np.cumsum([len(p) for p in parts], dtype=np.int64)
+
+
 def shard_leaks(items: Items, ids: list, texts: list[str | None], min_share: float = MIN_SHARE) -> list[tuple]:
     """(document, item, share, matching words, longest verbatim match, first and last word of the item) over one shard."""
-    get = items.vocabulary.get
-    parts, owner = [], []
-    for k, text in enumerate(texts):
-        w = [get(x, 0) for x in words(text)]
-        w.append(0)
-        parts.append(np.array(w, np.int64))
-        owner.append(len(w))
-    text = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    doc_of = np.repeat(np.arange(len(texts)), owner)
-    ends_of = np.cumsum(owner)
-    p, j, n = matches(items, text)
+    text, ends_of = numbered(items, texts)
+    out = []
+    for found in matches(items, text):
+        out += _leaks(items, ids, text, ends_of, *found, min_share)
+    return out
+
+
+def _leaks(items: Items, ids: list, text: np.ndarray, ends_of: np.ndarray, p: np.ndarray, j: np.ndarray, n: np.ndarray, min_share: float) -> list[tuple]:
     if not len(p):
         return []
-    doc, item = doc_of[p], items.owner[j]
+    doc, item = np.searchsorted(ends_of, p, "right"), items.owner[j]
     order = np.lexsort((p, item, doc))
     p, j, n, doc, item = p[order], j[order], n[order], doc[order], item[order]
     cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])
     ends = np.r_[cut[1:], len(p)]
     wanted = min_share * items.length[item[cut]]
     # No chain holds more words than all matches, all words between them and the furthest reach at both ends.
-    inside = (items.start[item], items.start[item] + items.length[item], ends_of[doc] - np.array(owner)[doc], ends_of[doc])
+    inside = (items.start[item], items.start[item] + items.length[item], np.r_[0, ends_of][doc], ends_of[doc])
     most = np.add.reduceat(n, cut) + ITEM_GAP * (ends - cut - 1)
     most += np.maximum.reduceat(reach(items, text, j, p, -1, *inside), cut) + np.maximum.reduceat(reach(items, text, j + n - 1, p + n - 1, 1, *inside), cut)
     out = []
@@ -269,6 +373,68 @@ def shard_leaks(items: Items, ids: list, texts: list[str | None], min_share: flo
     return out
 
 
+def shard_longest(items: Items, ids: list, texts: list[str | None], min_words: int) -> list[tuple]:
+    """(document, item, words of their longest verbatim match) over one shard, by plain words."""
+    text, ends_of = numbered(items, texts, plain_words)
+    best: dict[tuple[int, int], int] = {}
+    for p, j, n in matches(items, text, min_words):
+        for d, i, k in zip(np.searchsorted(ends_of, p, "right").tolist(), items.owner[j].tolist(), n.tolist()):
+            best[d, i] = max(k, best.get((d, i), 0))
+    return [(ids[d], items.ids[i], k) for (d, i), k in best.items()]
+
+
+def _blocks(evaluation: DataFrame, item_id: str, item_text: str) -> Iterator[list[tuple]]:
+    """The items in blocks of bounded size; the driver holds one at a time."""
+    block: list[tuple] = []
+    chars = 0
+    for row in evaluation.select(F.col(item_id).alias("i"), F.col(item_text).alias("x")).filter("x is not null").toLocalIterator():
+        if chars + len(row["x"]) > BLOCK_CHARS and block:
+            yield block
+            block, chars = [], 0
+        block.append((row["i"], row["x"]))
+        chars += len(row["x"])
+    yield block
+
+
+def _searched(documents: DataFrame, evaluation: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, columns: list[tuple[str, T.DataType]],
+              split: Callable[[str | None], list[str]], search: Callable[[Items, list, list], list[tuple]]) -> DataFrame:
+    """(``doc_id``, ``item_id``, ``columns``) of what ``search`` finds in every shard of the texts, block by block of items."""
+    schema = T.StructType([T.StructField(doc_id, documents.schema[doc_id].dataType), T.StructField(item_id, evaluation.schema[item_id].dataType), *[T.StructField(n, k) for n, k in columns]])
+    kinds = [_arrow(f.dataType) for f in schema.fields]
+    names = [f"c{k}" for k in range(len(kinds))]  # the ids' own names may clash with others
+    texts = spread(documents.select(F.col(doc_id).alias("d"), F.col(text).alias("x")))
+
+    def passed(sent) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = Items.of(sent.value, split)
+            ids, xs, size = [], [], 0
+
+            def rows() -> pa.RecordBatch:
+                found = search(items, ids, xs)
+                parts = list(zip(*found)) if found else [[]] * len(kinds)
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(parts, kinds)], names=names)
+
+            for batch in batches:
+                for d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    ids.append(d)
+                    xs.append(x)
+                    size += len(x or "")
+                    if size >= SHARD_CHARS:
+                        yield rows()
+                        ids, xs, size = [], [], 0
+            if ids:
+                yield rows()
+
+        internal = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, schema.fields)])
+        return texts.mapInArrow(run, internal)
+
+    out = None
+    for block in _blocks(evaluation, item_id, item_text):
+        own = passed(documents.sparkSession.sparkContext.broadcast(block))
+        out = own if out is None else out.unionByName(own)
+    return out.toDF(*schema.names)
+
+
 def leaks(documents: DataFrame, evaluation: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
           item_text: str = "item_text", min_share: float = MIN_SHARE) -> DataFrame:
     """(``doc_id``, ``item_id``, ``share``, ``matching``, ``longest``, ``item_from``, ``item_to``): one row per document and
@@ -278,46 +444,16 @@ def leaks(documents: DataFrame, evaluation: DataFrame, doc_id: str = "doc_id", t
     and items match nothing; an item shorter than MIN_WORDS words isn't searched; items with equal texts are reported
     each; copies of a document are reported each; texts are searched whole, comments included. Empty tables give an empty result.
     """
-    spark = documents.sparkSession
-    sized = evaluation.select(F.col(item_id).alias("i"), F.col(item_text).alias("x")).filter("x is not null")
-    blocks: list[list[tuple]] = [[]]
-    chars = 0
-    for row in sized.toLocalIterator():
-        if chars + len(row["x"]) > BLOCK_CHARS and blocks[-1]:
-            blocks.append([])
-            chars = 0
-        blocks[-1].append((row["i"], row["x"]))
-        chars += len(row["x"])
-    schema = T.StructType([
-        T.StructField(doc_id, documents.schema[doc_id].dataType), T.StructField(item_id, evaluation.schema[item_id].dataType), T.StructField("share", T.DoubleType()),
-        T.StructField("matching", T.LongType()), T.StructField("longest", T.LongType()), T.StructField("item_from", T.LongType()), T.StructField("item_to", T.LongType()),
-    ])
-    arrow = pa.schema([("d", _arrow(schema[0].dataType)), ("i", _arrow(schema[1].dataType)), ("s", pa.float64()), *((k, pa.int64()) for k in "mnab")])
-    names = schema.names
-    texts = spread(documents.select(F.col(doc_id).alias("d"), F.col(text).alias("x")))
-
-    def passed(block: list[tuple]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(block)
+    columns = [("share", T.DoubleType()), *((n, T.LongType()) for n in ("matching", "longest", "item_from", "item_to"))]
+    return _searched(documents, evaluation, doc_id, text, item_id, item_text, columns, words, lambda items, ids, xs: shard_leaks(items, ids, xs, min_share))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = Items.of(sent.value)
-            for batch in batches:
-                ids, xs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                start, size, rows = 0, 0, []
-                for k, x in enumerate(xs):
-                    size += len(x or "")
-                    if size >= SHARD_CHARS or k == len(xs) - 1:
-                        rows += shard_leaks(items, ids[start : k + 1], xs[start : k + 1], min_share)
-                        start, size = k + 1, 0
-                columns = list(zip(*rows)) if rows else [[]] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], names=names)
 
-        return texts.mapInArrow(run, schema)
-
-    out = passed(blocks[0])
-    for block in blocks[1:]:
-        out = out.unionByName(passed(block))
-    return out
+def longest_matches(documents: DataFrame, evaluation: DataFrame, min_words: int, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text") -> DataFrame:
+    """(``doc_id``, ``item_id``, ``longest``): for every document and item the words of their longest verbatim match, if it has at least
+    ``min_words`` (MIN_WORDS or more); by plain words, that is runs of letters and digits without regard to markup. Nulls and empty tables as in ``leaks``."""
+    if min_words < MIN_WORDS:
+        raise ValueError(f"matches of fewer than {MIN_WORDS} words aren't searched")
+    return _searched(documents, evaluation, doc_id, text, item_id, item_text, [("longest", T.LongType())], plain_words, lambda items, ids, xs: shard_longest(items, ids, xs, min_words))
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:

@@ -19,7 +19,29 @@ def test_words_through_markup():
     assert words(None) == words("") == [] and words("\\alpha") == []
 
 
-def test_matches_against_brute_force():
+@pytest.mark.parametrize("depth", [1, 2, 3, 7, 40])
+def test_suffixes_are_in_order(depth):
+    rnd = random.Random(depth)
+    text = np.array([rnd.choice([0, 1, 1, 1, 2, 3]) for _ in range(700)] + [2, 2, 2, 2] * 9, np.int64)
+    rank = L.suffix_ranks(text, depth)
+
+    def suffix(p):
+        out = []
+        for w in text[p : p + depth].tolist():
+            if w == 0:
+                break
+            out.append(w)
+        return out
+
+    order = np.argsort(rank, kind="stable").tolist()
+    keys = [suffix(p) for p in order]
+    assert keys == sorted(keys)
+    assert len(L.suffix_ranks(np.zeros(0, np.int64), 5)) == 0
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 1 << 20])
+def test_matches_against_brute_force(monkeypatch, at_once):
+    monkeypatch.setattr(L, "PLACES_AT_ONCE", at_once)
     rnd = random.Random(2)
     rows = [(k, " ".join(text(rnd, rnd.randint(5, 40)))) for k in range(12)]
     items = L.Items.of(rows)
@@ -29,7 +51,7 @@ def test_matches_against_brute_force():
         a = rnd.randrange(len(w))
         doc += w[a : a + rnd.randint(1, 12)] + text(rnd, rnd.randint(0, 3))
     place = np.array([items.vocabulary.get(w, 0) for w in doc], np.int64)
-    got = sorted(zip(*(x.tolist() for x in L.matches(items, place))))
+    got = sorted(m for chunk in L.matches(items, place) for m in zip(*(x.tolist() for x in chunk)))
     want = []
     it = items.text
     for p in range(len(place)):
@@ -43,6 +65,32 @@ def test_matches_against_brute_force():
     assert got == sorted(want) and got
 
 
+def test_longest_match_of_every_suffix():
+    rnd = random.Random(4)
+    rows = [(k, " ".join(text(rnd, 30))) for k in range(8)]
+    items = L.Items.of(rows)
+    doc = np.array([items.vocabulary.get(w, 0) for _ in range(40) for w in rnd.choice(rows)[1].split()[rnd.randrange(20) :]], np.int64)
+    array, (j, low, high, n) = L.intervals(items, doc)
+    got = {}
+    for a, lo, hi, d in zip(j.tolist(), low.tolist(), high.tolist(), n.tolist()):
+        got.setdefault(a, {}).update({int(p): d for p in array[lo:hi]})
+    for a in items.suffix.tolist():
+        want = {}
+        for p in range(len(doc)):
+            d = 0
+            while p + d < len(doc) and doc[p + d] == items.text[a + d] and items.text[a + d]:
+                d += 1
+            if d >= L.MIN_WORDS:
+                want[p] = d
+        assert got.get(a, {}) == want
+
+
+def test_longest_plain_matches(spark):
+    df = spark.createDataFrame([(1, "A b, c-d e f. x a b c d"), (2, "q r s"), (3, None), (4, "")], "doc_id long, text string")
+    ev = spark.createDataFrame([(7, "a b c d e f g"), (8, "z"), (9, None)], "item_id long, item_text string")
+    assert [tuple(r) for r in L.longest_matches(df, ev, 4).collect()] == [(1, 7, 6)]
+
+
 def case(rnd, item, share, altered=0.0):
     n = max(1, round(share * len(item)))
     a = rnd.randint(0, len(item) - n)
