@@ -5,7 +5,7 @@ function of their quantile: with k(q) = DELTA / pi * (asin(2q - 1) + pi / 2), wh
 one centroid, so that centroids are small at both ends. Merging is clustering again. Digests are made per Arrow batch, table and
 date, merged per (table, date, group, salt) and then per group, each time over sorted streams: no task holds more than a
 batch and the digest it works on. A second pass over the values counts how many lie below each answer; the rank error
-that it finds is exact.
+that it finds is exact. Keys of which an answer misses the bound are digested again with more centroids.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from lamina.session import written
 DELTA = 512
 #: The rank error, as a share of the group's values, that is promised beside one value.
 BOUND = 0.01
+#: How often keys that miss the bound are digested again, each time with so many times the centroids.
+REFINEMENTS, FINER = 3, 8
 #: Parts of a key at the first merge.
 SALTS = 16
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -85,7 +87,7 @@ def _runs(batch: pa.RecordBatch | pa.Table, keys: list[str]) -> np.ndarray:
     return np.cumsum(new) - 1
 
 
-def digests(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def digests(df: DataFrame, keys: list[str], value: str, delta: int = DELTA) -> DataFrame:
     """Partial digests: (keys, means, weights, low, high, n), one or more rows per key. Nulls and NaN don't count."""
     rows = df.select(*keys, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
     schema = T.StructType([*[f for f in rows.schema.fields if f.name in keys], *T._parse_datatype_string(DIGEST_DDL).fields])
@@ -99,13 +101,13 @@ def digests(df: DataFrame, keys: list[str], value: str) -> DataFrame:
             v = np.clip(table.column("__v").to_numpy(), -BIG, BIG)
             starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
             ends = np.r_[starts[1:], len(group)] - 1
-            g, m, w = cluster(group, v, np.ones(len(v), np.int64))
+            g, m, w = cluster(group, v, np.ones(len(v), np.int64), delta)
             yield _emit([table.column(k).combine_chunks().take(pa.array(starts)) for k in keys], keys, g, m, w, v[starts], v[ends])
 
     return rows.mapInArrow(run, schema)
 
 
-def merged(partial: DataFrame, keys: list[str], salts: int = 1) -> DataFrame:
+def merged(partial: DataFrame, keys: list[str], salts: int = 1, delta: int = DELTA) -> DataFrame:
     """One digest per key (and salt, if there are any: merge again without, for one per key)."""
     names = [*keys, "__salt"] if salts > 1 else keys
     rows = partial.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(salts))) if salts > 1 else partial
@@ -119,7 +121,7 @@ def merged(partial: DataFrame, keys: list[str], salts: int = 1) -> DataFrame:
                 continue
             if held is not None:
                 held = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(held.columns, batch.schema)], schema=batch.schema)
-            out = _combined(pa.Table.from_batches([held, batch] if held is not None else [batch]), names)
+            out = _combined(pa.Table.from_batches([held, batch] if held is not None else [batch]), names, delta)
             if out.num_rows > 1:
                 yield out.slice(0, out.num_rows - 1)
             held = out.slice(out.num_rows - 1)
@@ -131,7 +133,7 @@ def merged(partial: DataFrame, keys: list[str], salts: int = 1) -> DataFrame:
     return out.drop("__salt") if salts > 1 else out
 
 
-def _combined(table: pa.Table, names: list[str]) -> pa.RecordBatch:
+def _combined(table: pa.Table, names: list[str], delta: int = DELTA) -> pa.RecordBatch:
     table = table.combine_chunks()
     run = _runs(table, names)
     lists = table.column("means").combine_chunks()
@@ -140,7 +142,7 @@ def _combined(table: pa.Table, names: list[str]) -> pa.RecordBatch:
     weights = table.column("weights").combine_chunks().flatten().to_numpy(zero_copy_only=False)
     group = np.repeat(run, lengths)
     order = np.lexsort((means, group))
-    g, m, w = cluster(group[order], means[order], weights[order])
+    g, m, w = cluster(group[order], means[order], weights[order], delta)
     starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
     low = np.minimum.reduceat(table.column("low").to_numpy(), starts)
     high = np.maximum.reduceat(table.column("high").to_numpy(), starts)
@@ -182,7 +184,7 @@ def certified(values: DataFrame, key: str, value: str, answers: DataFrame, at: t
     return flat.withColumn("rank_error", error).withColumn("within_bound", F.col("rank_error") <= F.lit(bound) + 1 / F.col("n"))
 
 
-def group_percentiles(tables: dict[str, tuple[DataFrame, str, str, str]], key: str, at: tuple[float, ...] = QUANTILES) -> DataFrame:
+def group_percentiles(tables: dict[str, tuple[DataFrame, str, str, str]], key: str, at: tuple[float, ...] = QUANTILES, bound: float = BOUND) -> DataFrame:
     """Percentiles per ``key`` over several tables, from digests per table and date that are merged. ``tables`` has, by name, a
     table with the names of its key, date and value.
 
@@ -194,7 +196,17 @@ def group_percentiles(tables: dict[str, tuple[DataFrame, str, str, str]], key: s
     for name, (df, k, date, value) in tables.items():
         own = df.select(F.col(k).alias(key), F.col(date).alias("__date"), F.expr(value).cast("double").alias("__value"), F.lit(name).alias("__table"))
         values = own if values is None else values.unionByName(own)
-    by_date = merged(digests(values, ["__table", "__date", key], "__value"), ["__table", "__date", key], SALTS)
-    whole = merged(by_date, [key])
-    answers = written(quantiles(whole, [key], at), "percentiles")
-    return certified(values, key, "__value", answers, at)
+    out, delta = None, DELTA
+    for left in range(REFINEMENTS, -1, -1):
+        by_date = merged(digests(values, ["__table", "__date", key], "__value", delta), ["__table", "__date", key], SALTS, delta)
+        answers = written(quantiles(merged(by_date, [key], 1, delta), [key], at), "percentiles")
+        found = written(certified(values, key, "__value", answers, at, bound), "certified")
+        missed = found.filter("not within_bound").select(F.col(key).alias("__missed")).distinct()
+        again = left > 0 and not missed.isEmpty()
+        kept = found.join(missed, found[key].eqNullSafe(F.col("__missed")), "left_anti") if again else found
+        out = kept if out is None else out.unionByName(kept)
+        if not again:
+            break
+        values = values.join(missed, values[key].eqNullSafe(F.col("__missed")), "left_semi")
+        delta *= FINER
+    return out

@@ -69,5 +69,16 @@ def test_order_of_merging_keeps_counts_and_bounds(spark):
         assert {r["org_id"]: r["n"] for r in d.collect()} == {k: len(range(k, 20_000, 7)) for k in range(7)}
 
 
+def test_keys_that_miss_the_bound_are_digested_again(spark, monkeypatch):
+    rnd = np.random.default_rng(3)
+    rows = [(k % 2, dt.date(2024, 1, 1 + k % 5), float(rnd.normal())) for k in range(20_000)] + [(None, None, 1.0)]
+    table = {"a": (frame(spark, rows).repartition(7), "org_id", "event_date", "payload.score")}
+    monkeypatch.setattr(P, "REFINEMENTS", 0)
+    rough = P.group_percentiles(table, "org_id", bound=2e-5).collect()
+    monkeypatch.setattr(P, "REFINEMENTS", 3)
+    fine = P.group_percentiles(table, "org_id", bound=2e-5).collect()
+    assert not all(r["within_bound"] for r in rough) and all(r["within_bound"] for r in fine) and len(rough) == len(fine) == 21
+
+
 def test_empty(spark):
     assert P.group_percentiles({"a": (frame(spark, []), "org_id", "event_date", "payload.score")}, "org_id").count() == 0
