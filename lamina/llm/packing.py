@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.session import spread, written
@@ -40,25 +40,28 @@ def tokenizer(vocabulary: str = VOCABULARY):
 
 
 def token_counts(documents: DataFrame, doc_id: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(``doc_id``, ``n_tokens``) of whole texts; null and empty texts have none."""
+    """(``doc_id``, ``n_tokens``, ``h``, a hash of the row) of whole texts; null and empty texts have no tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = tokenizer(vocabulary)
+        import regex
+
+        encoding, pattern = tokenizer(vocabulary), regex.compile(PATTERN)
 
         def size(x: str | None) -> int:
             if not x:
                 return 0
             try:
                 return len(encoding.encode_ordinary(x))
-            except (Exception, BaseException) as e:  # the tokenizer's own limit on very long runs of one kind of character
-                if isinstance(e, (KeyboardInterrupt, SystemExit)) or len(x) < 2:
+            except BaseException as e:  # the tokenizer's own matcher gives up on very long runs of blanks, and says so by no Exception
+                if isinstance(e, (KeyboardInterrupt, SystemExit)):
                     raise
-                return size(x[: len(x) // 2]) + size(x[len(x) // 2 :])
+                # The same cut by another matcher, so that the count stays the tokenizer's.
+                return sum(len(encoding._encode_single_piece(m.group())) for m in pattern.finditer(x))
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([size(x) for x in batch.column(1).to_pylist()], pa.int64())], names=["doc_id", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([size(x) for x in batch.column(1).to_pylist()], pa.int64()), batch.column(2)], names=["doc_id", "n_tokens", "h"])
 
-    rows = spread(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens bigint")
+    rows = spread(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, h bigint")
 
 
 def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
@@ -123,12 +126,12 @@ def packed(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", cap
     container), ``from_token`` (its first token in the text), ``n_tokens``.
 
     A text that fits is one piece. A larger one is cut at multiples of the capacity; its full pieces have containers of their
-    own. Defined results: null and empty texts take no room and stand in the shard's first container; ids that occur
-    twice are packed each, as pieces of their own; an empty table gives an empty result. The same data give the same containers.
+    own. Shards are dealt by a hash of id and text. Defined results: null and empty texts take no room and stand in the shard's first
+    container; ids that occur twice are packed each, as pieces of their own; an empty table gives an empty result. The same data give the same containers.
     """
     counts = written(token_counts(documents, doc_id, text, vocabulary), "token-counts")
     shards = max(1, -(-counts.count() // SHARD_ITEMS))
-    rows = counts.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(shards)).cast("bigint"))
+    rows = counts.withColumn("shard", F.pmod(F.xxhash64("h", F.lit(7)), F.lit(shards)).cast("bigint"))
     kind = counts.schema["doc_id"].dataType.simpleString()
 
     def run(key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
@@ -151,5 +154,16 @@ def packed(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", cap
         out = pd.DataFrame({"doc_id": shard["doc_id"].to_numpy()[row[order]], "piece": piece[order], "container_id": (int(key[0]) << 32) + where[order], "slot": np.arange(len(order)) - begin, "start": before - before[begin], "from_token": piece[order] * capacity, "n_tokens": size[order]})
         return out
 
-    rows = rows.withColumn("h", F.xxhash64("doc_id")).repartition(shards, "shard")  # a number that is given isn't coalesced
+    rows = rows.repartition(shards, "shard")  # a number that is given isn't coalesced
     return rows.groupBy("shard").applyInPandas(run, f"doc_id {kind}, piece bigint, container_id bigint, slot bigint, start bigint, from_token bigint, n_tokens bigint").withColumnRenamed("doc_id", doc_id)
+
+
+def checked(documents: DataFrame, doc_id: str = "doc_id", capacity: int = CAPACITY, **how) -> DataFrame:
+    """What must hold of a packing, one row per ``doc_id``: ``whole`` (one piece, unless larger than a container), ``fits`` (its containers hold
+    at most the capacity), ``in_place`` (slots, starts and pieces follow each other without gaps)."""
+    rows = packed(documents, doc_id, capacity=capacity, **how)
+    slots, pieces = Window.partitionBy("container_id").orderBy("slot"), Window.partitionBy(doc_id).orderBy("piece")
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    seen = rows.withColumns({"total": F.sum("n_tokens").over(Window.partitionBy("container_id")), "s": F.row_number().over(slots) - 1, "a": before(slots), "p": F.row_number().over(pieces) - 1, "b": before(pieces)})
+    place = (F.col("slot") == F.col("s")) & (F.col("start") == F.col("a")) & (F.col("piece") == F.col("p")) & (F.col("from_token") == F.col("b"))
+    return seen.groupBy(doc_id).agg(((F.count(F.lit(1)) == 1) | (F.sum("n_tokens") > capacity)).alias("whole"), (F.max("total") <= capacity).alias("fits"), F.min(place).alias("in_place"))

@@ -19,6 +19,24 @@ def test_no_container_overflows_and_all_items_are_placed(sizes):
     assert len(got) == len(sizes) and fill.max() <= 20
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.integers(300, 2300), min_size=6, max_size=59))
+def test_packing_again_never_needs_more_containers(sizes):
+    sizes = np.array(sizes, np.int64)
+    got = K.pack(sizes)
+    assert np.bincount(got, weights=sizes).max() <= K.CAPACITY
+    full, K.FULL_ENOUGH = K.FULL_ENOUGH, 0.0
+    try:
+        assert got.max() <= K.pack(sizes).max()
+    finally:
+        K.FULL_ENOUGH = full
+
+
+def test_what_is_promised_of_a_packing(spark):
+    df = spark.createDataFrame([(k, "word " * (k % 90), "t") for k in range(300)] + [(900, None, "t")], "doc_id long, text string, total string")
+    assert {tuple(r)[1:] for r in K.checked(df, capacity=64).collect()} == {(True, True, True)}
+
+
 def test_little_space_is_left():
     rng = np.random.default_rng(1)
     sizes = np.clip(rng.lognormal(7, 0.7, 20_000), 1, 4096).astype(np.int64)
@@ -70,5 +88,13 @@ def test_long_runs_of_one_character(spark):
     assert all(r["sum(n_tokens)"] > 0 for r in got) and len(got) == 2
 
 
+def test_the_other_matcher_counts_like_the_tokenizer():
+    import regex
+
+    encoding, pattern = K.tokenizer(), regex.compile(K.PATTERN)
+    for x in ("It's  a test,\n\n  of 1234 things!  ", "  \t x", "naïve 日本語 '' 's", "a" * 500 + " " * 500 + "b"):
+        assert sum(len(encoding._encode_single_piece(m.group())) for m in pattern.finditer(x)) == len(encoding.encode_ordinary(x))
+
+
 def test_empty_table(spark):
     assert packed(spark, []).count() == 0
