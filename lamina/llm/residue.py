@@ -1,18 +1,21 @@
 r"""Records in which unfilled placeholders, filler, error messages or demands for scripts stand in place of content.
 
 A record is taken apart into its places (title, author, abstract, bodies of sections, captions, references, or the whole
-record), without comments and what is switched off; places into passages, passages into features. Passages of trusted
-patterns are the positives; all others are unlabelled. A naive Bayes model is learned from both by
-expectation-maximization: unlabelled passages count in both classes by their posterior, trusted ones as positive only.
-Every passage of every record is then scored; a place is residue if nearly all of it is, a record if one of its places is.
+record), without comments and what is switched off; places into passages, passages into features. Passages of a few trusted
+forms are the positives; all others are unlabelled. A naive Bayes model is learned from both by expectation-maximization:
+unlabelled passages count in both classes by their posteriors, trusted ones as positive only, and the share of residue is
+estimated anew in every round. Every passage of every record is then scored; a place is residue if nearly all of it is, a record
+if one of its places is.
+
+Both classes are smoothed by Laplace's rule: with one occurrence more of every feature. The class of residue is small, so this
+makes words that content never uses speak for residue even where no trusted form has them; that is how forms are found that
+nobody listed.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,45 +27,31 @@ from pyspark.sql import types as T
 
 from lamina.session import spread, written
 
-#: The model is fitted on at most so many trusted and unlabelled passages, chosen by hash.
-MAX_TRUSTED, MAX_UNLABELLED = 6_000, 40_000
+#: The model is fitted on at most so many trusted and unlabelled passages, those with the least hashes.
+MAX_TRUSTED, MAX_UNLABELLED = 6_000, 120_000
 #: Documents from which these passages come: about so many, by hash, or all if there are fewer.
 FIT_DOCUMENTS = 12_000
-#: Of their unlabelled passages one in so many is taken, by hash.
-ONE_IN = 10
-ROUNDS = 8
+#: Rounds at most, and the change of the posteriors at which they end.
+ROUNDS, SETTLED = 30, 1e-4
 #: The share of residue among unlabelled passages before anything is known.
 PRIOR = 0.01
-#: An unlabelled passage counts as residue in the next round only from this posterior.
-SURE = 0.95
 #: What one feature adds at most, either way: no single word decides.
-MOST = 6.0
-#: Pseudo-counts of each class.
-SMOOTHING = 50.0
+MOST = 8.0
 #: Log odds from which a passage is residue, and the share of a place's words that must be in such passages.
 MIN_ODDS = 0.0
 MIN_PART = 0.9
 #: A passage of more words is cut into sentences.
 LONG = 40
 
-# Forms that no author leaves in a finished text. They label passages for training only.
-_TRUSTED = re.compile(
-    r"""^(?:\{\{.{1,80}\}\}|\$\{[\w. ]{1,60}\}|@@\w{1,60}@@|__\w{1,60}__|%%\w{1,60}%%|<\?(?:php|=).{1,80}\?>|<(?:your[-_ ]|the[ -_]|le |la |el |der |die |das |)?[\w -]{2,40}\d*>)$
-    |^\[\s*(?:insert|enter|put|add|your|type|write|paste|ins[eé]r|ingres|escrib|saisi|entre[rz]|hier|bitte)\b.{0,80}\]$
-    |^(?:your|sample|replace|paste|enter|insert|type|put)\b.{0,60}\b(?:here|text|placeholder|dummy|field|paper|manuscript|report|article)\b.{0,60}$
-    |^(?:x{2,}[\s.]*)+$|^(?:(\b\w+\b)[\s.,]*)(?:\1[\s.,]*){3,}$|^(?:undefined|null|nan|todo|tbd)$|^(?:(?:undefined|null|nan|none|todo|tbd)\s*){2,}$
-    |\blorem\s+ipsum\b|(?:\b(?:lorem|ipsum|amet|consectetur|adipiscing)\b.{0,120}?){2}|\bscript(?:s|ing)\s+(?:is|are)\s+(?:disabled|turned\s+off|switched\s+off|blocked|off)\b|\bbrowser\s+with\s+scripting\b
-    |^\\(?:lipsum|blindtext|Blindtext|blinddocument|kant|Blinddocument)\b
-    |\bfirst\s*name,?\s+last\s*name\b|\b(?:dummy|filler|placeholder)\s+(?:text|content|copy|paragraph|goes)\b|\btexto\s+de\s+relleno\b|\btexte\s+(?:de\s+remplissage|factice)\b|\b(?:blind|f[uü]ll|platzhalter)text\b
-    |\b(?:enable|activate|activer|aktivieren|activ[ae]r?|habilit\w+|requires?|switch\s+on|turn\s+on)\b.{0,40}\b(?:javascript|scripts?|cookies)\b
-    |\bchecking\s+your\s+browser\b|\bunusual\s+traffic\b|\bnot\s+a\s+robot\b
-    |\b(?:access\s+denied|session\s+has\s+(?:expired|timed\s+out)|page\s+you\s+(?:asked|requested)|something\s+went\s+wrong|rate\s+limit\s+reached)\b
-    |\b(?:zugriff\s+verweigert|acc[eè]s\s+refus[eé]|acceso\s+denegado|page\s+introuvable|seite\s+nicht\s+gefunden|p[aá]gina\s+no\s+encontrada)\b
-    |\b(?:error|erreur|fehler)\s+\d{3}\s*:|^fatal\s*:|\b[45]\d\d\s+(?:bad\s+gateway|unauthorized|forbidden|not\s+found|gateway\s+timeout|internal\s+server\s+error|too\s+many\s+requests|service\s+unavailable|gone)\b
-    |\b(?:dienst|service|servicio|server)\b.{0,30}\b(?:nicht\s+(?:erreichbar|verf[uü]gbar)|indisponible|no\s+est[aá]\s+disponible|unavailable)\b
-    """,
-    re.I | re.X | re.S,
-)
+# The forms that are trusted, by family. They label passages for training only, and do so for a part of what is found.
+TRUSTED = {
+    "template marks": r"^(?:\{\{.{1,80}\}\}|\$\{[\w. ]{1,60}\}|@@\w{1,60}@@|__\w{1,60}__|%%\w{1,60}%%|<[%?].{1,80}[%?]>|<(?:your|the)[-_ ][\w -]{2,40}>|\[(?:insert|enter|your)\b.{0,80}\])$",
+    "pseudo-Latin": r"\blorem\s+ipsum\b|^\\(?:lipsum|blindtext|kant)\b",
+    "status codes": r"\b(?:400\s+bad\s+request|401\s+unauthorized|403\s+forbidden|404\s+not\s+found|429\s+too\s+many\s+requests|500\s+internal\s+server\s+error|502\s+bad\s+gateway|503\s+service\s+unavailable|504\s+gateway\s+timeout)\b|\baccess\s+denied\b",
+    "demands": r"\b(?:enable|activate|requires?)\s+(?:javascript|cookies)\b",
+    "repetition and nothing": r"^(?:x{2,}[\s.]*)+$|^(?:(\b\w+\b)[\s.,]*)(?:\1[\s.,]*){3,}$|^(?:(?:undefined|null|nan|none|todo|tbd)\b[\s.]*)+$",
+}
+_TRUSTED = {family: re.compile(form, re.I | re.S) for family, form in TRUSTED.items()}
 
 _OFF = re.compile(r"(?<!\\)%[^\n]*|\\begin\{comment\}.*?(?:\\end\{comment\}|\Z)|\\iffalse\b.*?(?:\\fi\b|\Z)", re.S)
 _VERBATIM = re.compile(r"\\begin\{(verbatim\*?|lstlisting|Verbatim|minted)\}.*?(?:\\end\{\1\}|\Z)|\\verb\*?([^A-Za-z\s]).*?\2|\\lstinline\*?([^A-Za-z\s]).*?\3", re.S)
@@ -73,7 +62,7 @@ _ABSTRACT = re.compile(r"\\begin\{(abstract)\}(.*?)(?:\\end\{\1\}|\Z)", re.S)
 _REFERENCES = re.compile(r"\\begin\{thebibliography\}(?:\{[^}]*\})?(.*?)(?:\\end\{thebibliography\}|\Z)", re.S)
 _ITEM = re.compile(r"\\bibitem(?:\[[^\]]*\])?\{[^}]*\}")
 _FLOAT = re.compile(r"\\begin\{(figure|table|wrapfigure)\*?\}.*?(?:\\end\{\1\*?\}|\Z)", re.S)
-_DROPPED = re.compile(r"\\(?:label|input|include|bibliographystyle|bibliography|includegraphics|usepackage|documentclass|documentstyle|newcommand|renewcommand|providecommand|begin|end|vspace|hspace)\*?(?:\[[^\]]*\])*(?:\{[^{}]*\})*|\\(?:maketitle|noindent|centering|newpage|clearpage|tableofcontents|appendix|item)\b")
+_DROPPED = re.compile(r"\\(?:label|input|include|bibliographystyle|bibliography|includegraphics|usepackage|documentclass|documentstyle|newcommand|renewcommand|providecommand|begin|end|vspace|hspace)\*?(?:\[[^\]]*\])*(?:\{[^{}]*\})*|\\(?:maketitle|noindent|centering|newpage|clearpage|tableofcontents|appendix|item|chapter|(?:sub){0,2}section|paragraph)\b\*?")
 _TEX = re.compile(r"\\(?:documentclass|documentstyle|begin|section|title|maketitle|usepackage|bibitem|end)\b")
 _TAG = re.compile(r"<(/?)(html|head|body|title|h\d|p|div|noscript|script|span|a|br|meta|center|hr|pre)\b[^<>]*>", re.I)
 _MATH = re.compile(r"\$\$.*?\$\$|\$[^$]*\$|\\\[.*?\\\]", re.S)
@@ -135,7 +124,7 @@ def extent(kind: str, content: str) -> str:
 
 def features(passage: str, place: str) -> list[str]:
     """The place's extent; words and pairs of words with the passage's ends, marks of templates, the outline of short passages, repetition.
-    Formulas are one mark, digits count by their number."""
+    Each counts once, however long the passage; formulas are one mark, digits count by their number."""
     text = passage.lower()
     if "$" in text or "\\[" in text:
         text = _MATH.sub(" \\\\formula ", text)
@@ -145,24 +134,24 @@ def features(passage: str, place: str) -> list[str]:
         if len(tokens) <= 5:
             out.append("whole " + " ".join(tokens))
         if not _PLAIN.fullmatch(text):
-            out += ["outline " + _RUN.sub("a+", _LETTERS.sub("a", _DIGITS.sub("0", text)))[:24]] * 2
+            out.append("outline " + _RUN.sub("a+", _LETTERS.sub("a", _DIGITS.sub("0", text))))
     words = [t for t in tokens if t.isalpha()]
-    if len(words) >= 3:
-        distinct = set(words)
-        if 2 * len(distinct) <= len(words):
-            out += ["repeats"] * (2 if len(distinct) > 1 else 4)
+    if len(words) >= 3 and 2 * len(distinct := set(words)) <= len(words):
+        out.append("repeats" if len(distinct) > 1 else "repeats one word")
     if words and len(text) <= 120 and len(set("".join(words))) == 1:
-        out += ["one letter"] * 4
-    return out
+        out.append("one letter")
+    return list(dict.fromkeys(out))
 
 
-def trusted(passage: str) -> bool:
-    return bool(_TRUSTED.search(passage.strip().strip("{}").strip() if passage.startswith("{\\") else passage.strip()))
+def family(passage: str) -> str | None:
+    """The family of trusted forms that a passage is of, if any."""
+    bare = passage.strip().strip("{}").strip() if passage.startswith("{\\") else passage.strip()
+    return next((name for name, form in _TRUSTED.items() if form.search(bare)), None)
 
 
 @dataclass(frozen=True)
 class Model:
-    """Log odds of residue by feature; features that were seen too seldom have none."""
+    """Log odds of residue by feature, and before any."""
 
     odds: dict[str, float]
     prior: float
@@ -176,45 +165,39 @@ def fit(positive: list[tuple[str, str]], unlabelled: list[tuple[str, str]], roun
     """Naive Bayes by expectation-maximization from trusted and unlabelled passages, each with its place's extent. Without trusted ones nothing is residue."""
     if not positive:
         return Model({}, -math.inf)
-    counted = Counter()
-    bags = [features(*p) for p in positive] + [features(*p) for p in unlabelled]
-    for bag in bags:
-        counted.update(set(bag))
-    sure = {f for bag in bags[: len(positive)] for f in bag}
-    vocabulary = {f: k for k, f in enumerate(f for f, n in counted.items() if n >= 2 or f in sure)}
-    row, column = [], []
-    for k, bag in enumerate(bags):
-        known = [vocabulary[f] for f in bag if f in vocabulary]
-        row += [k] * len(known)
-        column += known
-    row, column = np.array(row, np.int64), np.array(column, np.int64)
-    n, v = len(bags), max(len(vocabulary), 1)
-    posterior = np.zeros(n)
-    posterior[: len(positive)] = 1.0
-    odds = np.zeros(v)
+    vocabulary: dict[str, int] = {}
+    columns, lengths = [], []
+    for p in (*positive, *unlabelled):
+        bag = [vocabulary.setdefault(f, len(vocabulary)) for f in features(*p)]
+        columns.append(np.array(bag, np.int32))
+        lengths.append(len(bag))
+    column, row = np.concatenate(columns), np.repeat(np.arange(len(lengths)), lengths)
+    n, v, sure = len(lengths), len(vocabulary), len(positive)
+    seen = np.bincount(column, minlength=v)
+    posterior = np.r_[np.ones(sure), np.zeros(n - sure)]
     for _ in range(rounds):
-        weight = posterior[row]
-        yes = np.bincount(column, weights=weight, minlength=v)
-        no = np.bincount(column, weights=1 - weight, minlength=v)
-        # Both classes are smoothed by the same pseudo-counts of relative frequency, so that rare features lean to neither.
-        total = yes + no
-        pseudo = SMOOTHING * total / total.sum()
-        odds = np.log((yes + pseudo) / (yes.sum() + SMOOTHING)) - np.log((no + pseudo) / (no.sum() + SMOOTHING))
-        score = np.bincount(row, weights=np.clip(odds, -MOST, MOST)[column], minlength=n) + math.log(prior / (1 - prior))
+        # Maximization: both classes, by Laplace's rule, and the share of residue among the unlabelled.
+        yes = np.bincount(column, weights=posterior[row], minlength=v)
+        no = seen - yes
+        odds = np.clip(np.log((yes + 1) / (yes.sum() + v)) - np.log((no + 1) / (no.sum() + v)), -MOST, MOST)
+        # Expectation.
+        score = np.bincount(row, weights=odds[column], minlength=n) + math.log(prior / (1 - prior))
         updated = 1 / (1 + np.exp(-np.clip(score, -50, 50)))
-        updated[updated < SURE] = 0.0  # what is in doubt stays with the other class
-        updated[: len(positive)] = 1.0
+        updated[:sure] = 1.0
+        prior = float(updated[sure:].sum() + 1) / (n - sure + 2)
+        change = np.abs(updated - posterior).max()
         posterior = updated
-    share = prior
-    odds = np.clip(odds, -MOST, MOST)
-    return Model({f: float(odds[k]) for f, k in vocabulary.items()}, math.log(share / (1 - share)))
+        if change < SETTLED:
+            break
+    return Model(dict(zip(vocabulary, odds.tolist())), math.log(prior / (1 - prior)))
 
 
-def labelled(text: str | None) -> Iterator[tuple[bool, str, str]]:
-    """(trusted, passage, extent of its place) of a record. Only what opens a place can be trusted: forms of residue further on may be quoted."""
+def openers(text: str | None) -> Iterator[tuple[str | None, str, str]]:
+    """(family, passage, extent of its place) of what opens each place of a record: what the model is fitted on. Forms of residue further
+    on may be quoted."""
     for kind, content in places(text):
-        for k, passage in enumerate(passages(content)):
-            yield k == 0 and trusted(passage), passage, extent(kind, content)
+        passage = passages(content)[0]
+        yield family(passage), passage, extent(kind, content)
 
 
 def residue_places(model: Model, text: str | None) -> list[tuple[str, float, str]]:
@@ -237,7 +220,8 @@ def residue_places(model: Model, text: str | None) -> list[tuple[str, float, str
 
 
 def learn(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
-    """The model from a bounded sample of the documents; which ones is a matter of their ids' hashes."""
+    """The model from a bounded sample of the documents and of their passages; which ones is a matter of hashes, so that the same data
+    give the same model."""
     rows = documents.select(F.col(doc_id).alias("d"), F.col(text).alias("x"))
     count = rows.count()
     if count > FIT_DOCUMENTS:
@@ -245,19 +229,12 @@ def learn(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> M
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [(sure, passage, place) for x in batch.column(1).to_pylist() for sure, passage, place in labelled(x) if sure or zlib.crc32(passage.encode("utf-8", "replace")) % ONE_IN == 0]
+            kept = [(form is not None, passage, place) for x in batch.column(1).to_pylist() for form, passage, place in openers(x)]
             columns = list(zip(*kept)) if kept else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.bool_()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], names=["t", "p", "e"])
 
-    # Both limits bound what comes to the driver; ordered, so that the same data give the same model.
-    found = written(spread(rows).mapInArrow(run, "t boolean, p string, e string").withColumn("h", F.xxhash64("p")), "residue-fit")
-    sample = {}
-    for sure, most in ((True, MAX_TRUSTED), (False, MAX_UNLABELLED)):
-        own = found.filter(F.col("t") == sure)
-        n = own.count()
-        if n > most:
-            own = own.filter(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * most / n)).limit(most + most // 4)
-        sample[sure] = sorted((r["p"], r["e"]) for r in own.select("p", "e").collect())
+    found = written(spread(rows).mapInArrow(run, "t boolean, p string, e string").withColumn("h", F.xxhash64("p", "e")), "residue-fit")
+    sample = {sure: [(r["p"], r["e"]) for r in found.filter(F.col("t") == sure).orderBy("h", "p", "e").limit(most).collect()] for sure, most in ((True, MAX_TRUSTED), (False, MAX_UNLABELLED))}
     return fit(sample[True], sample[False])
 
 

@@ -1,5 +1,7 @@
+import os
 import random
 
+import pyarrow.parquet as pq
 import pytest
 
 from lamina.llm import residue as R
@@ -40,24 +42,47 @@ def corpus(seed, n, share):
     return docs, bad
 
 
+def learned(texts, without=None):
+    """A model of texts; trusted passages of the family ``without`` count as unlabelled."""
+    rows = [r for x in texts for r in R.openers(x)]
+    return R.fit([(p, e) for f, p, e in rows if f and f != without], [(p, e) for f, p, e in rows if not f or f == without])
+
+
 def test_held_out_accuracy():
-    train, bad = corpus(1, 1500, 0.1)
-    labelled = [p for _, x in train for p in R.labelled(x)]
-    model = R.fit([(p, e) for t, p, e in labelled if t], [(p, e) for t, p, e in labelled if not t])
+    model = learned([x for _, x in corpus(1, 1500, 0.1)[0]])
     held, bad = corpus(2, 800, 0.1)
     found = {d for d, x in held if R.residue_places(model, x)}
     assert len(found & bad) >= 0.98 * len(bad) and len(found - bad) <= 0.01 * len(held)
 
 
-def test_learns_what_no_pattern_says():
-    """A phrase that is never trusted, but shares words with such as are, is learned from unlabelled passages."""
+def test_learns_what_no_form_says():
+    """A phrase that is never trusted is learned from unlabelled passages."""
     train, _ = corpus(3, 1200, 0.1)
     rnd = random.Random(9)
-    train += [(5000 + k, article(rnd, body="This is dummy layout for the text.")) for k in range(12)]
-    labelled = [p for _, x in train for p in R.labelled(x)]
-    assert not R.trusted("This is dummy layout for the text.")
-    model = R.fit([(p, e) for t, p, e in labelled if t], [(p, e) for t, p, e in labelled if not t])
-    assert R.residue_places(model, article(rnd, body="This is dummy layout for the text."))
+    train += [(5000 + k, article(rnd, body="Placeholder prose for the layout, replace it.")) for k in range(12)]
+    assert R.family("Placeholder prose for the layout, replace it.") is None
+    model = learned([x for _, x in train])
+    assert R.residue_places(model, article(rnd, body="Placeholder prose for the layout, replace it."))
+
+
+DATA = "/root/testdata/sf0.1/documents.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="no test tables here")
+def test_families_that_are_left_out_are_found_all_the_same():
+    """Of records with a trusted form that the model wasn't told of, nine tenths are found, and hardly any others."""
+    texts = pq.read_table(DATA, columns=["text"])["text"].to_pylist()[:5000]
+    rows = [list(R.openers(x)) for x in texts]
+    flat = [r for own in rows for r in own]
+    whole = learned(texts)
+    total = hit = 0
+    for name in R.TRUSTED:
+        model = R.fit([(p, e) for f, p, e in flat if f and f != name], [(p, e) for f, p, e in flat if not f or f == name])
+        only = [x for x, own in zip(texts, rows) if {f for f, _, _ in own} - {None} == {name} and R.residue_places(whole, x)]
+        got = sum(bool(R.residue_places(model, x)) for x in only)
+        print(name, len(only), got)
+        total, hit = total + len(only), hit + got
+    assert total > 60 and hit >= 0.9 * total
 
 
 def test_places():
