@@ -30,7 +30,7 @@ from lamina.session import spread, written
 #: The model is fitted on at most so many trusted and unlabelled passages, those with the least hashes.
 MAX_TRUSTED, MAX_UNLABELLED = 6_000, 120_000
 #: Documents from which these passages come: about so many, by hash, or all if there are fewer.
-FIT_DOCUMENTS = 12_000
+FIT_DOCUMENTS = 10_000
 #: Rounds at most, and the change of the posteriors at which they end.
 ROUNDS, SETTLED = 30, 1e-4
 #: The share of residue among unlabelled passages before anything is known.
