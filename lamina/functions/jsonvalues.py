@@ -4,32 +4,47 @@ from __future__ import annotations
 
 import hashlib
 import json
-from decimal import Decimal
+from decimal import Decimal, InvalidOperation
 
+#: Whole numbers of at most so many digits stand as they are, larger ones as digits and exponent.
+MAX_DIGITS = 400
+#: Decimal fractions of so many digits are told apart by doubles.
+EXACT_DIGITS = 15
+#: Marks a number that is neither of them; no text of a JSON object has such a member beside it.
+OTHER = "\0number"
 
-def _number(text: str) -> str | int:
-    """A number written with a point or exponent: the integer if it is one of sensible size, else digits and exponent."""
-    sign, digits, exponent = Decimal(text).as_tuple()
+
+def _number(text: str):
+    """A number written with a point or exponent, so that equal numbers give equal values."""
+    if len(text) <= EXACT_DIGITS + 1 and "e" not in text and "E" not in text:
+        x = float(text)
+        return int(x) if x.is_integer() else x
+    try:
+        sign, digits, exponent = Decimal(text).as_tuple()
+    except InvalidOperation:
+        return {OTHER: text}
     if not isinstance(exponent, int):
-        return text
-    kept = list(digits)
-    while len(kept) > 1 and kept[-1] == 0:
-        kept.pop()
-        exponent += 1
-    if kept == [0]:
-        return 0
-    value = int("".join(map(str, kept)))
-    if 0 <= exponent <= 400:
-        return (-value if sign else value) * 10**exponent
-    return Number(f"{'-' * sign}{value}e{exponent}")
+        return {OTHER: text}
+    return _of("-" * sign, "".join(map(str, digits)).lstrip("0"), exponent)
 
 
-class Number(str):
-    """The canonical text of a number that is no integer."""
+def _integer(text: str):
+    if len(text) <= MAX_DIGITS:
+        return int(text)
+    sign = "-" if text[0] == "-" else ""
+    return _of(sign, text[len(sign):], 0)
 
 
-def _integer(text: str) -> int | str:
-    return int(text) if len(text) <= 4000 else Number(text)
+def _of(sign: str, digits: str, exponent: int):
+    kept = digits.rstrip("0")
+    exponent += len(digits) - len(kept)
+    if not kept:
+        return 0
+    if exponent >= 0 and len(kept) + exponent <= MAX_DIGITS:
+        return int(sign + kept) * 10**exponent
+    if len(kept) <= EXACT_DIGITS and -300 <= exponent < 0:
+        return float(f"{sign}{kept}e{exponent}")
+    return {OTHER: f"{sign}{kept}e{exponent}"}
 
 
 def _without_nulls(value):
@@ -37,8 +52,6 @@ def _without_nulls(value):
         return {k: _without_nulls(v) for k, v in value.items() if v is not None}
     if isinstance(value, list):
         return [_without_nulls(v) for v in value]
-    if isinstance(value, Number):
-        return {"\0number": str(value)}
     return value
 
 
@@ -57,12 +70,13 @@ def canonical_text(text: str | None) -> str | None:
     if text is None:
         return None
     try:
-        return canonical(parse(text))
+        value = parse(text)
+        return json.dumps(_without_nulls(value) if "null" in text else value, sort_keys=True, separators=(",", ":"))
     except (ValueError, RecursionError):
         return "\0text" + text
 
 
-def digest(text: str | None) -> str | None:
-    """128 bits, as hexadecimal digits, of the JSON value."""
+def digest(text: str | None) -> bytes | None:
+    """128 bits of the JSON value."""
     value = canonical_text(text)
-    return None if value is None else hashlib.md5(value.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()
+    return None if value is None else hashlib.md5(value.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()

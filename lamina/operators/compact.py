@@ -1,11 +1,12 @@
 """Very many small files into few balanced ones, each record once.
 
 Every row gets a digest of its record (payload compared as JSON value) and a code along a Hilbert curve through the
-dimensions. Copies are found by (ids, digest), with partial aggregation before the shuffle, so that a group of copies
-of any size crosses it once per task. The exact histogram of the codes, over at most 2^HISTOGRAM_BITS cells, gives
-the borders of the files; a cell that holds more than a file is spread over as many files as it needs by its digests.
-Rows are shuffled by file number, sorted along the curve and written; then source and destination are compared by
-digest, and only a destination that holds each record once is returned.
+dimensions; without the payloads these are written once, a narrow table. Copies are found in it by (ids, digest), with partial
+aggregation before the shuffle, so that a group of copies of any size crosses it once per task. The records are sorted along
+the curve by range; running sums of their bytes over the exact codes are the cumulative histogram, and its equal parts are
+the files: a border may lie anywhere, inside a code too, so that no code or key is too hot for one file. Payloads
+are then shuffled by file number, sorted along the curve and written. Last, source and destination are compared by digests and
+counts, and only a destination that holds each record once is returned.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ from pyspark.sql import types as T
 
 from lamina.functions import hilbert
 from lamina.functions.jsonvalues import digest
-from lamina.session import fresh_path, spread
+from lamina.session import dropped, fresh_path, spread
 
-#: Cells of the histogram that comes to the driver, and whose file numbers go to all tasks: 65,536 rows at most.
-HISTOGRAM_BITS = 16
 CURVE_BITS = 24
 #: A file's size, as UTF-8 bytes of its records before compression.
-FILE_BYTES = 128 << 20
+FILE_BYTES = 512 << 20
+#: Bytes that a record counts for beside its payload.
+RECORD_BYTES = 16
 
 
 class DigestMismatch(RuntimeError):
@@ -43,45 +44,63 @@ class Compaction:
     rows: int
 
 
-def _coded(df: DataFrame, dims: tuple[str, str], payload: str, low: list[int], high: list[int]) -> DataFrame:
-    schema = T.StructType([*df.schema.fields, T.StructField("__digest", T.StringType()), T.StructField("__code", T.LongType()), T.StructField("__bytes", T.LongType())])
+def _coded(df: DataFrame, keep: list[str], dims: tuple[str, str], payload: str, low: list[int], high: list[int]) -> DataFrame:
+    """``keep``, and of each row its digest, code and size; the payload stays behind."""
+    size = F.coalesce(F.octet_length(payload), F.lit(0)).cast("bigint") + RECORD_BYTES
+    rows = df.select(*keep, *[F.col(c).alias(f"__d{k}") for k, c in enumerate(dims)], size.alias("__bytes"), F.col(payload).alias("__payload"))
+    schema = T.StructType([*rows.select(*keep, "__bytes").schema.fields, T.StructField("__digest", T.BinaryType()), T.StructField("__code", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(payload)).to_pylist()
             axes = []
-            for name, a, b in zip(dims, low, high):
-                column = batch.column(batch.schema.get_field_index(name))
+            for k, (a, b) in enumerate(zip(low, high)):
+                column = batch.column(len(keep) + k)
                 axes.append(hilbert.scaled(column.cast(pa.float64()).fill_null(0).to_numpy(zero_copy_only=False), ~column.is_null().to_numpy(zero_copy_only=False), a, b, CURVE_BITS))
-            sizes = [16 if t is None else len(t.encode("utf-8", "surrogatepass")) + 16 for t in texts]
-            extra = [pa.array([digest(t) for t in texts], pa.string()), pa.array(hilbert.codes(axes, CURVE_BITS)), pa.array(sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "__digest", "__code", "__bytes"])
+            extra = [batch.column(len(keep) + 2), pa.array([digest(t) for t in batch.column(len(keep) + 3).to_pylist()], pa.binary()), pa.array(hilbert.codes(axes, CURVE_BITS))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *extra], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def _fingerprint(*columns: Column) -> list[Column]:
-    """Of a set of distinct records: how many, and the exact sum of their 64-bit hashes."""
+    """Of a set of rows: how many, and the exact sum of their 64-bit hashes."""
     return [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(20,0)")).alias("h")]
 
 
-def file_numbers(cells: list[tuple[int, int]], file_bytes: int) -> list[tuple[int, int, int]]:
-    """(cell, first file, files) for cells in curve order with their bytes. A cell that holds more than a file gets files of its
-    own; others fill files up to the size."""
-    out, file, filled = [], 0, 0
-    for cell, size in cells:
-        if size > file_bytes:
-            if filled:
-                file, filled = file + 1, 0
-            n = -(-size // file_bytes)
-            out.append((cell, file, n))
-            file += n
-            continue
-        if filled and filled + size > file_bytes:
-            file, filled = file + 1, 0
-        out.append((cell, file, 1))
-        filled += size
-    return out
+def _place(df: DataFrame, order: tuple[str, str]) -> Column:
+    """A row's place as one value that sorts like ``order``: a number where both are whole and fit one, which a hash aggregate can
+    keep the least of; else a struct."""
+    first, second = (df.schema[c].dataType for c in order)
+    if isinstance(first, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)) and isinstance(second, (T.IntegerType, T.ShortType, T.ByteType)):
+        return (F.col(order[0]).cast("decimal(19,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col(order[1]).cast("decimal(10,0)")).cast("decimal(38,0)")
+    return F.struct(*order)
+
+
+def running(df: DataFrame, size: str) -> tuple[DataFrame, int]:
+    """A sorted frame with, as ``__before``, the sum of ``size`` over all rows ahead; and the whole sum. Tasks sum their own rows as
+    they stream by; one number per task comes to the driver and goes back."""
+    rows = df.withColumn("__task", F.spark_partition_id())
+    schema = T.StructType([*rows.schema.fields, T.StructField("__before", T.LongType())])
+    at = rows.columns.index(size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            sizes = batch.column(at).to_numpy(zero_copy_only=False)
+            sums = np.cumsum(sizes)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums - sizes + total, pa.int64())], names=schema.names)
+            total += int(sums[-1]) if len(sums) else 0
+
+    spark = df.sparkSession
+    path = fresh_path(spark, "running")
+    rows.mapInArrow(run, schema).write.parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    offsets, total = [], 0
+    for r in out.groupBy("__task").agg(F.sum(size).alias("n")).orderBy("__task").collect():
+        offsets.append((r["__task"], total))
+        total += r["n"]
+    ahead = spark.createDataFrame(offsets, "__task int, __offset long")
+    return out.join(F.broadcast(ahead), "__task").withColumn("__before", F.col("__before") + F.col("__offset")).drop("__task", "__offset"), total
 
 
 def compact(df: DataFrame, order: tuple[str, str] = ("file_id", "row_no"), dims: tuple[str, str] = ("event_id", "org_id"),
@@ -90,44 +109,44 @@ def compact(df: DataFrame, order: tuple[str, str] = ("file_id", "row_no"), dims:
 
     Defined results: nulls in ``dims`` and ``payload`` are values, equal to each other; a payload that is no JSON is
     compared as text; an empty table gives one empty file; ``order`` must be unique and not null; other columns are left
-    out. Raises DigestMismatch, before anything is returned, if a record is missing, doubled or altered.
+    out. Files differ by no more than a record's size. Raises DigestMismatch, before anything is returned, if a record is
+    missing, doubled or altered.
     """
     spark = df.sparkSession
     path = path or fresh_path(spark, "compacted")
     rows = df.select(*order, *dims, payload)
+    whole = F.xxhash64(*order, *dims, payload)
     bounds = rows.agg(*[f(c).cast("bigint") for c in dims for f in (F.min, F.max)]).first()
     low, high = [x or 0 for x in bounds[::2]], [x or 0 for x in bounds[1::2]]
-    coded = _coded(spread(rows), dims, payload, low, high)
+
+    def staged(table: DataFrame, what: str) -> DataFrame:
+        table.write.parquet(f"{path}.{what}")
+        return spark.read.schema(table.schema).parquet(f"{path}.{what}")
+
+    tagged = spread(rows).withColumns({"__place": _place(df, order), "__whole": whole})
+    narrow = staged(_coded(tagged, [*dims, "__place", "__whole"], dims, payload, low, high), "rows")
     key = [*dims, "__digest"]
-    kept = (
-        coded.groupBy(*key, "__code")
-        .agg(F.min_by(F.struct(*order, payload, "__bytes"), F.struct(*order)).alias("r"), F.count(F.lit(1)).alias("copies"))
-        .select(*key, "__code", "copies", *[F.col("r")[c].alias(c) for c in (*order, payload, "__bytes")])
-    )
-    staging = f"{path}.records"
-    kept.write.parquet(staging)
-    kept = spark.read.schema(kept.schema).parquet(staging)
-    cell = F.shiftright("__code", 2 * CURVE_BITS - HISTOGRAM_BITS).cast("int")
-    histogram = kept.groupBy(cell.alias("cell")).agg(F.sum("__bytes").alias("bytes")).orderBy("cell").collect()
-    plan = file_numbers([(r["cell"], r["bytes"]) for r in histogram], file_bytes)
-    files = max([first + n for _, first, n in plan], default=1)
-    numbers = spark.createDataFrame(plan, "cell int, first int, n int")
-    placed = (
-        kept.withColumn("cell", cell).join(F.broadcast(numbers), "cell")
-        .withColumn("file_no", F.col("first") + F.pmod(F.xxhash64(*key), F.col("n").cast("bigint")).cast("int"))
-        .select("file_no", *order, *dims, payload, "copies", "__code", "__digest")
-    )
-    placed.repartitionById(files, F.col("file_no")).sortWithinPartitions("__code", *dims).drop("__digest", "__code").write.parquet(path)
-    destination = spark.read.schema(placed.drop("__digest", "__code").schema).parquet(path)
-    # Both sides are digested anew: the source's rows, not what was staged of them, and the files that were written.
-    count = F.count(F.lit(1)).alias("rows")
-    source = _coded(spread(rows), dims, payload, low, high).groupBy(*key).agg(count).agg(*_fingerprint(*key), F.sum("rows").alias("rows")).first()
-    written = _coded(destination.select(*dims, payload, "copies"), dims, payload, low, high).agg(*_fingerprint(*key), F.sum("copies").alias("rows")).first()
-    if (source["n"], source["h"]) != (written["n"], written["h"]):
-        raise DigestMismatch(f"source has {source['n']} records, hash {source['h']}; destination {written['n']}, hash {written['h']}")
-    if source["rows"] != written["rows"]:
-        raise DigestMismatch(f"source has {source['rows']} rows; the records of the destination stand for {written['rows']}")
-    return Compaction(destination, path, files, source["n"], source["rows"] or 0)
+    records = staged(narrow.groupBy(*key, "__code").agg(F.min("__place").alias("__place"), F.max("__bytes").alias("__bytes"), F.count(F.lit(1)).alias("copies")), "records")
+    along, total = running(records.orderBy("__code", *key), "__bytes")
+    files = max(1, -(-total // file_bytes))
+    number = F.floor(F.col("__before") * files / F.lit(max(total, 1))).cast("int")
+    numbers = along.select("__place", "copies", "__code", "__digest", F.least(number, F.lit(files - 1)).alias("file_no"))
+    placed = rows.withColumn("__place", _place(df, order)).join(numbers, "__place").select("file_no", *order, *dims, payload, "copies", "__code", "__digest")
+    final = placed.drop("__digest", "__code")
+    placed.repartitionById(files, F.col("file_no")).sortWithinPartitions("__code", *dims, "__digest").select(*final.columns).write.parquet(path)
+    destination = spark.read.schema(final.schema).parquet(path)
+    # The files, digested anew, are compared with what was staged, and that with the source's rows as they are now.
+    wanted = narrow.select(*key).distinct().agg(*_fingerprint(*key)).first()
+    held = _coded(destination, [*dims, "copies"], dims, payload, low, high).agg(*_fingerprint(*key), F.sum("copies").alias("rows")).first()
+    if (wanted["n"], wanted["h"]) != (held["n"], held["h"]):
+        raise DigestMismatch(f"source has {wanted['n']} records, hash {wanted['h']}; destination {held['n']}, hash {held['h']}")
+    source, kept = rows.agg(*_fingerprint(whole)).first(), narrow.agg(*_fingerprint(F.col("__whole"))).first()
+    if (source["n"], source["h"]) != (kept["n"], kept["h"]):
+        raise DigestMismatch(f"source has {source['n']} rows, hash {source['h']}; {kept['n']} were read, hash {kept['h']}")
+    if source["n"] != (held["rows"] or 0):
+        raise DigestMismatch(f"source has {source['n']} rows; the records of the destination stand for {held['rows']}")
+    dropped(spark, f"{path}.rows", f"{path}.records")
+    return Compaction(destination, path, files, wanted["n"], source["n"])
 
 
 def redundant_rows(df: DataFrame, order: tuple[str, str] = ("file_id", "row_no"), **how) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamina.functions.jsonvalues import Number, canonical
+from lamina.functions.jsonvalues import canonical
 from lamina.session import spread, written
 
 #: Bits of the kinds that a path may hold in one file.
@@ -162,7 +162,7 @@ def _plain(value):
     if isinstance(value, list):
         return [_plain(v) for v in value]
     if isinstance(value, float):
-        return int(value) if value.is_integer() else Number(repr(float(value)))
+        return int(value) if value.is_integer() else float(value)
     return value
 
 

@@ -53,14 +53,23 @@ def micros(df: DataFrame, name: str) -> Column:
     return F.unix_micros(F.col(name).cast("timestamp"))
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders that are no longer needed, through Hadoop's file systems."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer partitions than there are cores (few row groups), dealt out to all of them: for work in Python that costs far
-    more than the shuffle. A scan of enough partitions stays as it is, and so does what isn't a plain scan."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString() or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+    """A plain scan for work in Python that costs far more than a shuffle of its rows. Small tables have fewer row groups than there are
+    cores, and one task each; they are dealt out to all cores. A scan that gives every core a task stays as it is."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return df if tasks(df) >= cores else df.repartition(cores)
+
+
+def tasks(df: DataFrame) -> int:
+    """Into how many tasks of some work a scan falls at least: one for each file, and one for every so many bytes of large ones."""
+    conf = df.sparkSession._jsparkSession.sessionState().conf()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(len(df._jdf.inputFiles()), size // int(conf.filesMaxPartitionBytes()))

@@ -39,10 +39,29 @@ def test_hilbert_codes_visit_every_point_by_steps_of_one(n, bits):
     assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
 
 
-def test_files_are_balanced_and_hot_cells_are_split():
-    plan = C.file_numbers([(0, 60), (1, 50), (2, 1000), (3, 30), (4, 30), (5, 50)], 100)
-    assert plan == [(0, 0, 1), (1, 1, 1), (2, 2, 10), (3, 12, 1), (4, 12, 1), (5, 13, 1)]
-    assert C.file_numbers([], 100) == []
+@pytest.mark.parametrize("a,b,same", [("1" + "0" * 500, "1e500", True), ("0.1" + "0" * 30, "0.1", True), ("1.5e0", "1.5", True), ("123456789012345678e-3", "123456789012345.678", True), ("9" * 450, "9" * 449 + "8", False), ("0.1234567890123456", "0.1234567890123457", False), ("-0", "0.0", True), ("1e99999999999999999999", "1e99999999999999999998", False)])
+def test_numbers_of_all_sizes(a, b, same):
+    assert (digest(f'{{"a":{a}}}') == digest(f'{{"a":{b}}}')) == same
+
+
+def test_running_sums_over_tasks(spark):
+    df = spark.range(1000).selectExpr("id", "id % 7 as n").repartitionByRange(5, "id").sortWithinPartitions("id")
+    out, total = C.running(df, "n")
+    want = list(itertools.accumulate([0] + [k % 7 for k in range(1000)]))
+    assert total == want[-1] and [r["__before"] for r in out.orderBy("id").collect()] == want[:-1]
+
+
+def test_files_are_balanced_however_hot_a_key_is(spark):
+    data = [(k, 0, 7 if k % 3 else k, 1, '{"a":%d}' % k) for k in range(2000)]
+    done = C.compact(spark.createDataFrame(data, "file_id long, row_no int, event_id long, org_id long, payload string"), file_bytes=3000)
+    sizes = [r["n"] for r in done.destination.groupBy("file_no").agg({"payload": "count"}).withColumnRenamed("count(payload)", "n").collect()]
+    assert len(sizes) == done.files > 10 and max(sizes) - min(sizes) <= 0.1 * max(sizes)
+
+
+def test_places_of_other_types(spark):
+    data = [("b", 1, 5, 1, "{}"), ("a", 2, 5, 1, "{ }"), ("a", 1, 5, 1, "null")]
+    df = spark.createDataFrame(data, "file_id string, row_no int, event_id long, org_id long, payload string")
+    assert [tuple(r) for r in C.redundant_rows(df).collect()] == [("b", 1)]
 
 
 def rows(seed=1, n=600):
