@@ -138,14 +138,14 @@ class NdjsonOptions:
     scan_parallelism: int = 0
     read_buffer_bytes: int = 1 << 20
     sort_field: str | None = None
-    sort_max_rows_in_memory: int = 262_144
+    sort_max_rows_in_memory: int | None = None  # Spark's sort spills; a caller may set a guard all the same
     widening: WideningOptions = field(default_factory=WideningOptions)
 
     def check(self) -> None:
         if not self.payload_column.strip():
             raise ValueError("payload_column must not be empty")
         for name in ("batch_rows", "sort_max_rows_in_memory"):
-            if getattr(self, name) <= 0:
+            if getattr(self, name) is not None and getattr(self, name) <= 0:
                 raise ValueError(f"{name} must be greater than zero")
         seen = set()
         for name in self.envelope_fields:

@@ -1,7 +1,7 @@
 """NDJSON files as typed tables: exact discovery of the schema, then a typed read, sorted on request.
 
-Discovery folds types, not values: each task reduces its lines to one small tree of kinds and counts, and the driver
-joins one tree per task. The typed read is Spark's own JSON parser with the discovered schema.
+Discovery folds types, not values: each task reduces its lines to one tree of kinds and counts, as large as the schema and
+not as its rows; trees of neighbouring tasks are joined by other tasks, and the driver joins what these give. The typed read is Spark's own JSON parser with the discovered schema.
 """
 
 from __future__ import annotations
@@ -22,6 +22,12 @@ from lamina.plans.types import to_spark
 from lamina.plans.widening import SchemaConflict, scalar, shown
 
 I64, U64 = (1 << 63) - 1, (1 << 64) - 1
+#: A task folds the records of so many shapes at once into its tree.
+SHAPES_AT_ONCE = 4096
+#: Trees of so many tasks are joined before the driver sees them.
+TREES_AT_ONCE = 64
+#: A schema of more fields is refused: plans and files of such a width are of no use.
+MAX_FIELDS = 100_000
 SORTABLE = (pa.int64(), pa.uint64(), pa.float64(), pa.string(), pa.large_string())
 
 
@@ -109,7 +115,7 @@ def signature(value):
         return value is None
     kind = type(value)
     if kind is dict:
-        return tuple((k, signature(v)) for k, v in value.items())
+        return tuple((k, signature(value[k])) for k in sorted(value))  # the order of keys doesn't matter
     if kind is list:
         return ("[]", *dict.fromkeys(map(signature, value)))
     if kind is int:
@@ -117,6 +123,11 @@ def signature(value):
     return "s" if kind is str else "f"
 
 
+def fields(shape: Shape) -> int:
+    own = [*(shape.members or {}).values(), *([shape.element] if shape.element is not None else [])]
+    return len(own) + sum(map(fields, own))
+
+
 def times(shape: Shape, n: int) -> Shape:
     """The shape of ``n`` records of one shape."""
     members = None if shape.members is None else {k: times(m, n) for k, m in shape.members.items()}
@@ -145,6 +156,9 @@ class Discovered:
     schema: pa.Schema
     records: int
     rendered: list[tuple[str, ...]] = field(default_factory=list)  # paths of texts that also hold numbers or booleans
+    shapes: int = 0  # distinct shapes of records, as tasks met them
+    hits: int = 0  # records whose shape was known
+    misses: int = 0
 
 
 def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -179,47 +193,71 @@ def discover_lines(df: DataFrame, options: NdjsonOptions) -> Discovered:
         members = {k: joined(left.members[k], right.members[k], path, widening) for k, path in (("e", ""), ("p", payload))}
         return Shape(members=members, seen=left.seen + right.seen)
 
+    def folded(state: Shape | None, counts: dict[tuple, list]) -> Shape | None:
+        for n, record in counts.values():
+            own, rest = {}, {}
+            for k, v in record.items():
+                (own if k in envelope else rest)[k] = v
+            shape = times(Shape(members={"e": observed(own, "", widening), "p": observed(rest, payload, widening)}, seen=1), n)
+            state = shape if state is None else both(state, shape)
+        if state is not None and fields(state) > MAX_FIELDS:
+            raise ValueError(f"the records have more than {MAX_FIELDS} fields")
+        return state
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pickle
 
-        at, error = None, None
+        at, error, state = None, None, None
         counts: dict[tuple, list] = {}  # by signature: how many records, and the first one
-        for batch in batches:
-            for text, source, block, file in zip(batch["line"], batch["__source"], batch["__block"], batch["__file"]):
-                at = at if at is not None else (source, block)
-                try:
-                    record = parse(text, file)
-                except ValueError as e:
-                    error = (type(e).__name__, str(e))
-                    break
-                known = counts.setdefault(signature(record), [0, record])
-                known[0] += 1
-            if error:
-                break
-        state = None
+        hits = misses = 0
         try:
-            for n, record in counts.values():
-                own, rest = {}, {}
-                for k, v in record.items():
-                    (own if k in envelope else rest)[k] = v
-                shape = times(Shape(members={"e": observed(own, "", widening), "p": observed(rest, payload, widening)}, seen=1), n)
-                state = shape if state is None else both(state, shape)
+            for batch in batches:
+                for text, source, block, file in zip(batch["line"], batch["__source"], batch["__block"], batch["__file"]):
+                    at = at if at is not None else (int(source), int(block))
+                    record = parse(text, file)
+                    known = counts.setdefault(signature(record), [0, record])
+                    known[0] += 1
+                    hits, misses = (hits + 1, misses) if known[0] > 1 else (hits, misses + 1)
+                    if len(counts) >= SHAPES_AT_ONCE:
+                        state, counts = folded(state, counts), {}
+            state = folded(state, counts)
         except SchemaConflict as e:
-            error = ("SchemaConflict", e.conflicts)
+            error = ("SchemaConflict", e.conflicts, at)
+        except ValueError as e:
+            error = ("ValueError", str(e), at)
         if at is not None:
-            yield pd.DataFrame([(int(at[0]), int(at[1]), pickle.dumps((state, error)))], columns=["s", "b", "x"])
-
-    import pickle
-
-    partial = df.select("line", "__source", "__block", "__file").mapInPandas(run, "s long, b long, x binary").collect()  # one row per task
-    state = None
-    for row in sorted(partial, key=lambda r: (r["s"], r["b"])):
-        shape, error = pickle.loads(bytes(row["x"]))
-        if error:
-            raise SchemaConflict(error[1]) if error[0] == "SchemaConflict" else ValueError(error[1])
-        if shape is None:
-            continue
-        state = shape if state is None else both(state, shape)
+            yield pd.DataFrame([(*at, pickle.dumps((state, error, hits, misses)))], columns=["s", "b", "x"])
+
+    def join(rows) -> tuple:
+        """Of pickled states in the order of their first rows: their join, the first error, and the sums of both counters."""
+        import pickle
+
+        state, error, hits, misses = None, None, 0, 0
+        for x in rows:
+            own, wrong, h, m = pickle.loads(bytes(x))
+            hits, misses = hits + h, misses + m
+            if error is None and wrong is not None:
+                error = wrong
+            if error is None and own is not None:
+                try:
+                    state = own if state is None else both(state, own)
+                except SchemaConflict as e:
+                    error = ("SchemaConflict", e.conflicts, None)
+        return state, error, hits, misses
+
+    def joining(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pickle
+
+        rows = [r for batch in batches for r in zip(batch["g"], batch["s"], batch["b"], batch["x"])]
+        for g in sorted({r[0] for r in rows}):
+            own = sorted((r[1:] for r in rows if r[0] == g), key=lambda r: r[:2])
+            yield pd.DataFrame([(own[0][0], own[0][1], pickle.dumps(join(r[2] for r in own)))], columns=["s", "b", "x"])
+
+    partial = df.select("line", "__source", "__block", "__file").mapInPandas(run, "s long, b long, x binary")
+    grouped = partial.withColumn("g", F.floor(F.spark_partition_id() / TREES_AT_ONCE)).repartition("g").mapInPandas(joining, "s long, b long, x binary")
+    state, error, hits, misses = join(r["x"] for r in sorted(grouped.collect(), key=lambda r: (r["s"], r["b"])))
+    if error:
+        raise SchemaConflict(error[1]) if error[0] == "SchemaConflict" else ValueError(error[1])
     records = state.seen if state else 0
     own = state.members["e"].members if state else {}
     columns = []
@@ -230,7 +268,7 @@ def discover_lines(df: DataFrame, options: NdjsonOptions) -> Discovered:
     rest = Shape(members=rest.members, seen=records)
     columns.append(pa.field(payload, rest.arrow(), True))
     rendered = [p for k, s in own.items() for p in _mixed(s, (k,))] + [p for k, s in rest.members.items() for p in _mixed(s, (k,))]
-    return Discovered(pa.schema(columns), records, rendered)
+    return Discovered(pa.schema(columns), records, rendered, misses, hits, misses)
 
 
 def _text(value):
@@ -288,13 +326,13 @@ def sort_error(schema: pa.Schema, name: str) -> str | None:
 
 
 def read(df: DataFrame, options: NdjsonOptions, found: Discovered | None = None) -> tuple[DataFrame, Discovered]:
-    """The typed table of a frame of lines, sorted if the options say so. The sort spills; the cap on its rows is only kept as the
-    guard that callers may have set."""
+    """The typed table of a frame of lines, sorted if the options say so. The sort spills; a cap on its rows is a guard that callers
+    may set."""
     found = found or discover_lines(df, options)
     if options.sort_field is not None:
         if problem := sort_error(found.schema, options.sort_field):
             raise ValueError(problem)
-        if found.records > options.sort_max_rows_in_memory:
+        if options.sort_max_rows_in_memory is not None and found.records > options.sort_max_rows_in_memory:
             raise ValueError(f"NDJSON sort requires buffering {found.records} rows, which exceeds sort_max_rows_in_memory={options.sort_max_rows_in_memory}; external spill sort is not implemented")
     out = typed(df, found, options)
     if options.sort_field is not None:

@@ -132,6 +132,92 @@ def test_bad_order(spark, tmp_path):
         merge.merge_payload_files(spark, [flags], ordering_field="is_active")
 
 
+def group(source, n, begin, end, low, high):
+    key = lambda x: x if isinstance(x, tuple) else (1, x)
+    return footers.Group(source, n, begin, end, key(low), key(high))
+
+
+def test_zones():
+    null = footers.HIGHEST
+    # Sources one after the other, whatever their order in the list, are one zone each.
+    assert merge.zones([group(0, 0, 0, 5, 10, 19), group(0, 1, 5, 9, 20, 29), group(1, 0, 0, 4, 0, 9)]) == [(0, 0, 9, 1, True), (1, 0, 4, 0, True)]
+    # Only the row groups that overlap are sorted.
+    assert merge.zones([group(0, 0, 0, 5, 0, 9), group(0, 1, 5, 9, 10, 19), group(1, 0, 0, 4, 15, 25), group(1, 1, 4, 8, 26, 30)]) == [(0, 0, 5, 0, True), (0, 5, 9, 1, False), (1, 0, 4, 1, False), (1, 4, 8, 2, True)]
+    # Equal ends go by source.
+    assert [z[4] for z in merge.zones([group(0, 0, 0, 1, 1, 5), group(1, 0, 0, 1, 5, 6)])] == [True, True]
+    assert [z[4] for z in merge.zones([group(0, 0, 0, 1, 5, 6), group(1, 0, 0, 1, 1, 5)])] == [False, False]
+    # Nulls come last; what footers don't tell may lie anywhere.
+    assert [z[4] for z in merge.zones([group(0, 0, 0, 1, 1, null), group(1, 0, 0, 1, 5, 6)])] == [False, False]
+    assert [z[4] for z in merge.zones([group(0, 0, 0, 1, 1, 4), group(1, 0, 0, 1, 5, null), group(2, 0, 0, 1, null, null)])] == [True, True, True]
+    assert [z[4] for z in merge.zones([group(0, 0, 0, 1, footers.LOWEST, null), group(1, 0, 0, 1, 5, 6)])] == [False, False]
+    assert merge.zones([]) == []
+
+
+def test_bounds_of_keys(tmp_path):
+    path = write(tmp_path / "a.parquet", pa.schema([("i", pa.int64()), ("s", pa.string()), ("f", pa.float64()), ("n", pa.int32())]), [{"i": 3, "s": "b", "f": 1.0, "n": None}, {"i": 5, "s": None, "f": 2.0, "n": None}])
+    g = pq.ParquetFile(path).metadata.row_group(0)
+    assert [footers.key_bounds(g.column(k).statistics, 2) for k in range(4)] == [((1, 3), (1, 5)), ((1, "b"), footers.HIGHEST), (footers.LOWEST, footers.HIGHEST), (footers.HIGHEST, footers.HIGHEST)]
+    assert footers.key_bounds(None, 2) == (footers.LOWEST, footers.HIGHEST)
+    (_, size, begin, length, magic), = footers.tails([path])
+    assert magic == "PAR1" and begin + length + 8 == size == os.path.getsize(path)
+
+
+@pytest.mark.parametrize("layout", ["apart", "apart backwards", "overlapping ends", "dense", "nulls"])
+@pytest.mark.parametrize("single", [True, False])
+def test_ordered_directory(spark, tmp_path, layout, single):
+    n, rows = 4, 60
+    sources = {
+        "apart": [list(range(k * rows, (k + 1) * rows)) for k in range(n)], "apart backwards": [list(range((n - k) * rows, (n - k + 1) * rows)) for k in range(n)],
+        "overlapping ends": [list(range(k * rows - 6 * (k % 2), (k + 1) * rows)) for k in range(n)], "dense": [list(range(k, n * rows, n)) for k in range(n)],
+        "nulls": [[*range(k * rows, (k + 1) * rows), *[None] * (3 * (k % 2))] for k in range(n)],
+    }[layout]
+    schema = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("payload", pa.struct([("score", pa.int32())]))])
+    paths = [write(tmp_path / f"{k}.parquet", schema, [{"k": v, "n": 1000 * k + i, "payload": {"score": 1}} for i, v in enumerate(x)], row_group_size=10) for k, x in enumerate(sources)]
+    want = [v for *_, v in sorted((v is None, v or 0, k, i, 1000 * k + i) for k, x in enumerate(sources) for i, v in enumerate(x))]
+    out = str(tmp_path / "out")
+    for _ in range(2):  # the second time over what the first has left
+        report = sink.merge_payload_parquet_files(spark, paths, out, execution=ExecutionOptions(ordering_field="k"), single_file=single)
+        files = [out] if single else sorted(str(p) for p in (tmp_path / "out").glob("*.parquet"))
+        assert [x for f in files for x in pq.read_table(f)["n"].to_pylist()] == want
+        assert report.rows == len(want) and report.output_files == files and report.fast_path_rows + report.sorted_rows == len(want)
+        assert (report.sorted_rows == 0) == (layout not in ("overlapping ends", "dense"))  # row groups of nulls alone go last as they are
+    if not single:
+        assert validate.out_of_order(spark, out, "k").count() == 0
+    if layout == "overlapping ends":
+        assert report.sorted_rows == 2 * 2 * 10
+    plans = [p._jdf.queryExecution().executedPlan().toString() for p in merge.payload_files_in_order(spark, paths, merge.PayloadOptions(), "k").pieces]
+    if layout.startswith("apart"):
+        assert len(plans) == 1 and "Exchange rangepartitioning" not in plans[0] and "Exchange hashpartitioning" not in plans[0]
+
+
+def test_order_of_input_without_a_shuffle(spark, tmp_path):
+    paths = [(left, right)[k % 2](tmp_path / f"{k}.parquet", range(k * 10, k * 10 + 7), range(7), row_group_size=3) for k in (3, 0, 2, 1)]
+    out = str(tmp_path / "out")
+    sink.merge_payload_parquet_files(spark, paths, out, single_file=False)
+    files = sorted(str(p) for p in (tmp_path / "out").glob("*.parquet"))
+    assert [x for f in files for x in pq.read_table(f)["event_id"].to_pylist()] == [k * 10 + i for k in (3, 0, 2, 1) for i in range(7)]
+    plan = merge.files_in_order(spark, paths, merge.payload()).pieces[0]._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "hashpartitioning" not in plan
+    assert pq.read_schema(files[0]).names == ["org_id", "event_id", "payload"]
+
+
+def test_output_that_is_out_of_order_is_noticed(spark, tmp_path):
+    for k, ids in enumerate(([1, 2, 5], [4, 6, None], [None])):
+        os.makedirs(tmp_path / "o", exist_ok=True)
+        write(tmp_path / "o" / f"part-{k}.parquet", pa.schema([("v", pa.int64())]), [{"v": v} for v in ids])
+    assert [tuple(r) for r in validate.out_of_order(spark, str(tmp_path / "o"), "v").collect()] == [(1, 0)]
+
+
+@pytest.mark.parametrize("columns", [(), (ColumnOptions(("id",), encoding=Encoding.DELTA_BINARY_PACKED),)])
+def test_overwriting_leaves_nothing_behind(spark, tmp_path, columns):
+    path = str(tmp_path / "d")
+    options = ExecutionOptions(writer_column_options=columns, writer_data_page_row_count_limit=50)
+    sink.write_directory(spark.range(100).repartition(4), path, options)
+    sink.write_directory(spark.range(10).coalesce(1), path, options)
+    assert spark.read.parquet(path).count() == 10 and sorted(os.listdir(tmp_path)) == ["d"]
+    assert not [f for f in os.listdir(path) if "writing" in f or "tried" in f]
+
+
 def test_disorder_is_found_within_and_between_tasks(spark):
     values = [1, 2, 2, 5, 4, None, None, 7, 8]
     df = spark.createDataFrame([(0, k, v) for k, v in enumerate(values)] + [(1, 0, 0)], f"{merge.SOURCE} int, {merge.ROW} long, v int")
@@ -140,6 +226,12 @@ def test_disorder_is_found_within_and_between_tasks(spark):
         assert sorted(r[merge.ROW] for r in merge.disorder(cut, "v").collect()) == [4, 7]
 
 
+def test_first_disorder_of_each_task(spark):
+    df = spark.createDataFrame([(0, k, -k) for k in range(500)], f"{merge.SOURCE} int, {merge.ROW} long, v int").repartitionByRange(3, merge.ROW).sortWithinPartitions(merge.ROW)
+    rows = [r[merge.ROW] for r in merge.disorder(df, "v", first_only=True).collect()]
+    assert min(rows) == 1 and len(rows) <= 6
+
+
 @pytest.mark.parametrize("values,bad", [([1.0, float("nan"), None], []), ([float("nan"), 1.0], [1]), ([None, float("nan")], [1]), (["b", "a"], [1]), ([dt.date(2020, 1, 2), dt.date(2020, 1, 1), None], [1]), ([], [])])
 def test_disorder_of_kinds(spark, values, bad):
     kind = "double" if not values or isinstance(values[-1], float) or isinstance(values[0], float) else "string" if isinstance(values[0], str) else "date"
