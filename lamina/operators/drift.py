@@ -2,9 +2,10 @@
 
 Headers: each task reads its lines once and folds what it sees of a file into bit masks, one per path; masks of one
 file from many tasks are combined with ``bit_or``, so a file that many tasks share costs no more than one header each.
-Files are then compared with the file before them. Only where a path that went and one that came have the same
-parent and type are values looked at: lines of those two files, cut to these paths, are read again and combined per
-event before they are compared, so that repeated events cost no pairs.
+Files are then compared with the file before them. Only where paths that went and paths that came have a parent and a
+type in common are values looked at: lines of those two files, cut to these paths, are read again and combined per
+event. Old and new paths meet where an event has the same value at both, so that neither repeated events nor many paths
+cost all their pairs; how many events each old path shares with a new one decides whether all of them agreed.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,8 +124,8 @@ def headers(df: DataFrame, file: tuple[str, str], line: str, outside: tuple[str,
 
 
 def compare(old: dict[str, int], new: dict[str, int], root: str) -> tuple[list[tuple], list[tuple]]:
-    """Changes (kind, path, '') at paths in only one file or with another type; and pairs (old path, new path) that may be
-    one path renamed. Both go down only below structs in both files."""
+    """Changes (kind, path, '') at paths in only one file or with another type; and candidates (side, path, parent and type): paths that
+    may have been renamed, as one went and one came with the same parent and type. Both go down only below structs in both files."""
     children: dict[str, tuple[set, set]] = defaultdict(lambda: (set(), set()))
     for side, paths in enumerate((old, new)):
         for path in paths:
@@ -135,7 +136,11 @@ def compare(old: dict[str, int], new: dict[str, int], root: str) -> tuple[list[t
         before, after = children[todo.pop()]
         gone, come = sorted(before - after), sorted(after - before)
         changes += [("removed", p, "") for p in gone] + [("added", p, "") for p in come]
-        pairs += [(p, q) for p in gone for q in come if same_type(type_of(p, old), type_of(q, new))]
+        # Lists of unknown elements fit any list: candidates meet by the outermost part of their types, and are told apart by their values.
+        sides = [{p: type_of(p, masks).split("<")[0] for p in paths} for paths, masks in ((gone, old), (come, new))]
+        both = set(sides[0].values()) & set(sides[1].values())
+        under = gone[0].rpartition(SEP)[0] if gone else ""
+        pairs += [(k, p, f"{under}{SEP}{t}") for k, side in enumerate(sides) for p, t in side.items() if t in both]
         for p in before & after:
             if not same_type(a := type_of(p, old), b := type_of(p, new)):
                 changes.append(("retyped", p, ""))
@@ -177,31 +182,32 @@ def file_changes(df: DataFrame, file: tuple[str, str] = ("feed", "file_no"), lin
     ``file`` is a feed and the number that orders its files. Keys in ``outside`` don't count. Defined results: lines that
     are null, empty or no JSON object hold no value; a file without values has no paths; the first file of a feed
     changes nothing; of a repeated key the last holds; repeated lines count like one; lists that are empty in a whole file
-    fit any list; a scalar that shares a path with a struct or list makes it Utf8. An empty table gives an empty one.
+    fit any list; a scalar that shares a path with a struct or list makes it Utf8; where a path may have become several, or several one,
+    it is the one with most common events, then the first by name. An empty table gives an empty one.
     """
     first, number = file
     heads = headers(df, file, line, outside, root)
     order = Window.partitionBy("a").orderBy("b")
     steps = heads.select("a", "b", "paths", F.lag("b").over(order).alias("before"), F.lag("paths").over(order).alias("old")).filter(F.col("old").isNotNull())
     kinds = heads.schema
-    out = T.StructType([kinds["a"], kinds["b"], T.StructField("before", kinds["b"].dataType), T.StructField("change_kind", T.StringType()), T.StructField("p", T.StringType()), T.StructField("q", T.StringType())])
+    out = T.StructType([kinds["a"], kinds["b"], T.StructField("before", kinds["b"].dataType), T.StructField("change_kind", T.StringType()), T.StructField("p", T.StringType()), T.StructField("q", T.StringType()), T.StructField("t", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for a, b, paths, before, old in zip(batch["a"], batch["b"], batch["paths"], batch["before"], batch["old"]):
-                changes, pairs = compare(dict(old), dict(paths), root)
-                rows += [(a, b, before, *x) for x in changes] + [(a, b, before, "pair", *x) for x in pairs]
+                old, new = dict(old), dict(paths)
+                changes, candidates = compare(old, new, root)
+                rows += [(a, b, before, *x, "") for x in changes] + [(a, b, before, ("old", "new")[k], p, family, type_of(p, new if k else old)) for k, p, family in candidates]
             yield pd.DataFrame(rows, columns=out.names).astype({"b": batch["b"].dtype, "before": batch["b"].dtype})
 
     changes = written(steps.select("a", "b", "paths", F.col("before"), "old").mapInPandas(run, out), "drift-changes")
-    pairs = changes.filter("change_kind = 'pair'")
+    candidates = changes.filter("change_kind in ('old', 'new')").select("a", "b", "before", F.when(F.col("change_kind") == "old", 0).otherwise(1).alias("side"), F.col("p").alias("path"), F.col("q").alias("family"), F.col("t").alias("type"))
     # Which paths of which file to look at, for which later file.
-    sides = pairs.select("a", F.col("before").alias("at"), "b", F.lit(0).alias("side"), F.col("p").alias("path")).unionByName(
-        pairs.select("a", F.col("b").alias("at"), "b", F.lit(1).alias("side"), F.col("q").alias("path")))
-    wanted = sides.groupBy("a", "at").agg(F.collect_set(F.struct("b", "side", "path")).alias("wanted"))
+    sides = candidates.select("a", F.when(F.col("side") == 0, F.col("before")).otherwise(F.col("b")).alias("at"), "b", "side", "path", "family", "type")
+    wanted = sides.groupBy("a", "at").agg(F.collect_set(F.struct("b", "side", "path", "family", "type")).alias("wanted"))
     lines = df.select(F.col(first).alias("a"), F.col(number).alias("at"), F.col(line).alias("line"))
-    seen = T.StructType([kinds["a"], kinds["b"], T.StructField("side", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("e", T.StringType()), T.StructField("v", T.StringType())])
+    seen = T.StructType([kinds["a"], kinds["b"], T.StructField("side", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("family", T.StringType()), T.StructField("type", T.StringType()), T.StructField("e", T.StringType()), T.StructField("v", T.StringType())])
 
     def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -217,23 +223,55 @@ def file_changes(df: DataFrame, file: tuple[str, str] = ("feed", "file_no"), lin
                 for w in wanted:
                     v = _at(record, w["path"].split(SEP)[1:])
                     if v is not None:
-                        rows.append((a, w["b"], w["side"], w["path"], e, _value(v)))
+                        rows.append((a, w["b"], w["side"], w["path"], w["family"], w["type"], e, _value(v)))
             yield pd.DataFrame(rows, columns=seen.names).astype({"b": "int64", "side": "int32"})
 
     found = lines.join(wanted, ["a", "at"]).select("a", "line", "wanted").mapInPandas(values, seen)
     # One row per event and path, whatever its copies say: lo and hi differ where they disagree.
-    per = found.groupBy("a", "b", "e", "side", "path").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    p = per.filter("side = 0").select("a", "b", "e", F.col("path").alias("p"), F.col("lo").alias("plo"), F.col("hi").alias("phi"))
-    q = per.filter("side = 1").select("a", "b", "e", F.col("path").alias("q"), F.col("lo").alias("qlo"), F.col("hi").alias("qhi"))
-    both = pairs.select("a", "b", "p", "q").join(p, ["a", "b", "p"]).join(q, ["a", "b", "e", "q"])
-    equal = (F.col("plo") == F.col("phi")) & (F.col("qlo") == F.col("qhi")) & (F.col("plo") == F.col("qlo"))
-    renamed = both.groupBy("a", "b", "p", "q").agg(F.count(F.lit(1)).alias("n"), F.min(equal).alias("all_equal")).filter("n >= 2 and all_equal")
-    renamed = written(renamed.select("a", "b", F.lit("renamed").alias("change_kind"), "p", "q"), "drift-renames")
-    moved = renamed.select("a", "b", F.lit("removed").alias("change_kind"), "p").unionByName(renamed.select("a", "b", F.lit("added").alias("change_kind"), F.col("q").alias("p"))).distinct()
-    rest = changes.filter("change_kind != 'pair'").select("a", "b", "change_kind", "p", "q").join(moved, ["a", "b", "change_kind", "p"], "left_anti")
+    per = written(found.groupBy("a", "b", "family", "e", "side", "path", "type").agg(F.min("v").alias("lo"), F.max("v").alias("hi")), "drift-values")
+    # Old and new paths meet by event and value; that they never meet otherwise is a matter of counting their common events.
+    agreed = per.filter("lo = hi")
+    p = agreed.filter("side = 0").select("a", "b", "family", "e", F.col("lo").alias("v"), F.col("path").alias("p"), F.col("type").alias("pt"))
+    q = agreed.filter("side = 1").select("a", "b", "family", "e", F.col("lo").alias("v"), F.col("path").alias("q"), F.col("type").alias("qt"))
+    alike = p.join(q, ["a", "b", "family", "e", "v"]).groupBy("a", "b", "p", "q", "pt", "qt").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").filter(_same_type(F.col("pt"), F.col("qt")))
+    alike = written(alike.select("a", "b", "p", "q", "n"), "drift-alike")
+    old = per.filter("side = 0").select("a", "b", "e", F.col("path").alias("p"))
+    new = per.filter("side = 1").select("a", "b", "e", F.col("path").alias("q"))
+    common = alike.select("a", "b", "p", "q").join(old, ["a", "b", "p"]).join(new, ["a", "b", "e", "q"]).groupBy("a", "b", "p", "q").agg(F.count(F.lit(1)).alias("common"))
+    renamed = alike.join(common, ["a", "b", "p", "q"]).filter("n = common").select("a", "b", "p", "q", "n")
+    renamed = written(_one_to_one(renamed).select("a", "b", F.lit("renamed").alias("change_kind"), "p", "q"), "drift-renames")
+    moved = renamed.select("a", "b", F.lit("removed").alias("change_kind"), "p").unionByName(renamed.select("a", "b", F.lit("added").alias("change_kind"), F.col("q").alias("p")))
+    rest = changes.filter("change_kind not in ('old', 'new')").select("a", "b", "change_kind", "p", "q").join(moved, ["a", "b", "change_kind", "p"], "left_anti")
     return rest.unionByName(renamed).select(F.col("a").alias(first), F.col("b").alias(number), "change_kind", _dotted("p").alias("field_path"), _dotted("q").alias("new_path"))
 
 
+def _same_type(a: Column, b: Column) -> Column:
+    """``same_type`` of two columns: up to where one doesn't know its elements, types must be equal."""
+    known = lambda c: F.regexp_replace(c, r"\?>*$", "")
+    return F.startswith(a, known(b)) & F.startswith(b, known(a)) | (a == b)
+
+
+def _one_to_one(pairs: DataFrame) -> DataFrame:
+    """Of pairs (p, q) of one step those that hold if a path becomes one path only: most common events first, then by name. Few paths of a
+    file change their names, and fewer might have become more than one: what has no rival stays as it is, rivals meet per file."""
+    rivals = [F.count(F.lit(1)).over(Window.partitionBy("a", "b", c)) for c in "pq"]
+    marked = pairs.withColumn("rivals", F.greatest(*rivals))
+    kinds = pairs.schema
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["n", "p", "q"], ascending=[False, True, True], kind="stable")
+        old, new, keep = set(), set(), []
+        for p, q in zip(rows["p"], rows["q"]):
+            keep.append(p not in old and q not in new)
+            if keep[-1]:
+                old.add(p)
+                new.add(q)
+        return rows[keep][kinds.names]
+
+    clear = marked.filter("rivals = 1").select(*kinds.names)
+    return clear.unionByName(marked.filter("rivals > 1").select(*kinds.names).groupBy("a", "b").applyInPandas(run, kinds))
+
+
 def union_type(root: str, masks: dict[str, int]) -> T.DataType:
     """The Spark type that holds the values at a path in every file. Structs hold their members by name; what is no join of
     numbers, one struct or one list becomes text."""

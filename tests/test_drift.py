@@ -42,8 +42,9 @@ def brute(files):
                         if k not in ("event_id", "org_id") and v is not None:
                             D.note(v, "payload" + D.SEP + k, masks)
                 heads.append(masks)
-            plain, pairs = D.compare(*heads, "payload")
-            gone, come = set(), set()
+            plain, candidates = D.compare(*heads, "payload")
+            pairs = [(p, q) for i, p, x in candidates for j, q, y in candidates if (i, j) == (0, 1) and x == y and D.same_type(D.type_of(p, heads[0]), D.type_of(q, heads[1]))]
+            gone, come, fit = set(), set(), []
             for p, q in pairs:
                 sides = []
                 for n, path in ((a, p), (b, q)):
@@ -55,6 +56,9 @@ def brute(files):
                     sides.append(values)
                 both = set(sides[0]) & set(sides[1])
                 if len(both) >= 2 and all(len(sides[0][e]) == 1 and sides[0][e] == sides[1][e] for e in both):
+                    fit.append((-len(both), p, q))
+            for _, p, q in sorted(fit):
+                if p not in gone and q not in come:
                     gone.add(p)
                     come.add(q)
                     out.append((f, b, "renamed", p.replace(D.SEP, "."), q.replace(D.SEP, ".")))
@@ -101,6 +105,33 @@ def test_against_brute_force(spark):
     assert changes(spark, files) == brute(files)
 
 
+def test_rare_cases_against_brute_force(spark):
+    """Few events, small domains, empty lists, exponents, several paths that fit, repeated events that disagree."""
+    rnd = random.Random(11)
+    files = {}
+    for f in "abcdef":
+        for n in range(1, 12):
+            names = rnd.sample("qwertz", 4)
+            lines = []
+            for e in rnd.sample(range(6), 4):
+                record = {"event_id": e, "s": {}}
+                for k, x in enumerate(names):
+                    value = rnd.choice([True, rnd.random() < 0.8, None]) if k == 0 else rnd.choice([[], [1], [e]]) if k == 1 else rnd.choice([e, float(e)]) if k == 2 else {"m": e % 2}
+                    (record["s"] if rnd.random() < 0.3 else record)[x] = value
+                text = json.dumps(record)
+                lines += [text.replace(": 3", ": 3e0") if rnd.random() < 0.2 else text] * rnd.choice([1, 2])
+            if rnd.random() < 0.2:
+                lines.append(json.dumps({"event_id": 0, names[0]: rnd.random() < 0.5}))
+            files[f, n] = lines
+    got = changes(spark, files)
+    assert got == brute(files) and any(c[2] == "renamed" for c in got)
+
+
+def test_a_path_becomes_one_path_only(spark):
+    files = {("a", 1): ['{"event_id":1,"x":5,"u":1}', '{"event_id":2,"x":6,"u":1}', '{"event_id":3,"u":1}'], ("a", 2): ['{"event_id":1,"y":5,"z":5,"v":1}', '{"event_id":2,"y":6,"z":6}', '{"event_id":3,"w":1,"v":1}', '{"event_id":1,"w":1}', '{"event_id":2,"w":1}']}
+    assert changes(spark, files) == [("a", 2, "added", "payload.v", ""), ("a", 2, "added", "payload.z", ""), ("a", 2, "renamed", "payload.u", "payload.w"), ("a", 2, "renamed", "payload.x", "payload.y")]
+
+
 def test_one_table(spark):
     files = {("a", 1): ['{"event_id":1,"org_id":2,"score":1,"A":1,"l":[1]}', "broken"], ("a", 2): ['{"event_id":2,"score":2.5,"a":true,"p":{"n":"x"},"l":[1.5],"v":1}', '{"event_id":3,"v":"s"}'], ("b", 1): ['{"p":{"m":1}}']}
     table = D.unified(frame(spark, files))
