@@ -6,15 +6,15 @@ import json
 import pathlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.operators import derive, merge, validate
 from lamina.operators.position import with_position
-from lamina.plans.options import NdjsonOptions, NumericMode, PayloadOptions, StringMode, TopLevelOptions, WideningOptions
+from lamina.plans.options import ColumnOptions, Compression, Encoding, ExecutionOptions, MergeOrder, NdjsonOptions, NumericMode, StringMode, TopLevelOptions, WideningOptions
 from lamina.plans.widening import shown
 from lamina.session import fresh_path, table
-from lamina.sources import footers, ndjson
+from lamina.sources import footers, ndjson, sink
 
 PAYLOADS = ("payload_left", "payload_right", "payload_mixed")
 
@@ -75,16 +75,25 @@ def _payloads(spark: SparkSession, d: str, *names: str) -> DataFrame:
     return _frames([table(spark, d, n) for n in names], merge.payload())
 
 
+def _number(c: Column, name: str) -> list[Column]:
+    """A double in two columns, as NaN is no value that two engines compare alike."""
+    return [F.when(~F.isnan(c), c).alias(name), F.coalesce(F.isnan(c), F.lit(False)).alias(f"{name}_is_nan")]
+
+
 def payload_union_nested(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("payload")
     return _payloads(spark, d, *PAYLOADS).select(
-        "event_id", "org_id", "event_date", p.isNull().alias("no_payload"), p["score"].alias("score"), p["profile"].isNull().alias("no_profile"), p["profile"]["name"].alias("name"),
+        "event_id", "org_id", "event_date", p.isNull().alias("no_payload"), *_number(p["score"], "score"), p["profile"].isNull().alias("no_profile"), p["profile"]["name"].alias("name"),
         p["profile"]["tier"].alias("tier"), p["profile"]["segment"].alias("segment"), F.size(p["scores"]).alias("n_scores"), p["amount"].alias("amount"))
 
 
 def p2_payload_table(spark: SparkSession, d: str) -> DataFrame:
-    """The three payload tables as one, flattened as its SQL has it, of lists the lengths only; ``p2_payload_whole`` has the payload as it is."""
-    return payload_union_nested(spark, d)
+    """The three payload tables as one, a row for each element of ``payload.scores`` and one where there are none: what has become of every value
+    of the fields that drift. ``p2_payload_whole`` has the same table with the payload as it is."""
+    p = F.col("payload")
+    rows = _payloads(spark, d, *PAYLOADS).select("event_id", "org_id", "event_date", p["score"].alias("s"), p["profile"].alias("f"), p["amount"].alias("amount"), p["scores"].isNull().alias("no_scores"), F.posexplode_outer(p["scores"]).alias("place", "e"))
+    f = F.col("f")
+    return rows.select("event_id", "org_id", "event_date", *_number(F.col("s"), "score"), f["name"].alias("name"), f["tier"].alias("tier"), f["segment"].alias("segment"), "amount", "no_scores", "place", *_number(F.col("e"), "element"))
 
 
 def p2_payload_whole(spark: SparkSession, d: str) -> DataFrame:
@@ -97,13 +106,111 @@ def payload_list_widen(spark: SparkSession, d: str) -> DataFrame:
 
 
 def payload_sum_nested(spark: SparkSession, d: str) -> DataFrame:
-    _payloads(spark, d, "payload_left", "payload_mixed").createOrReplaceTempView("merged_payload")
-    return spark.sql("SELECT sum(payload['score']) AS total, count(payload['score']) AS n, count(*) AS n_rows FROM merged_payload")
+    """Sum and count of a nested field that Int32 and Float64 files share. In whole 1024ths, without NaN and values beyond 10^9, so that the sum
+    doesn't depend on the order of rows."""
+    _payloads(spark, d, *PAYLOADS).createOrReplaceTempView("merged_payload")
+    return spark.sql("""SELECT sum(CASE WHEN abs(payload['score']) < 1e9 THEN CAST(floor(payload['score'] * 1024) AS BIGINT) END) AS total, count(payload['score']) AS n, count_if(isnan(payload['score'])) AS n_nan,
+      count(*) AS n_rows FROM merged_payload""")
 
 
 def payload_project_nested(spark: SparkSession, d: str) -> DataFrame:
-    _payloads(spark, d, "payload_left", "payload_mixed").createOrReplaceTempView("merged_projection")
-    return spark.sql("SELECT event_id, payload['profile']['name'] AS name, payload['profile']['segment'] AS segment FROM merged_projection ORDER BY event_id")
+    _payloads(spark, d, *PAYLOADS).createOrReplaceTempView("merged_projection")
+    return spark.sql("SELECT event_id, payload['profile']['name'] AS name, payload['profile']['tier'] AS tier, payload['profile']['segment'] AS segment FROM merged_projection ORDER BY event_id")
+
+
+def _files(df: DataFrame) -> list[str]:
+    """The files that a frame is read from, by name."""
+    return sorted(df.inputFiles())
+
+
+def _parts(spark: SparkSession, frames: list[DataFrame], key: str) -> list[str]:
+    """Each frame as one file in the order of its key: the inputs of a merge of files."""
+    paths = []
+    for df in frames:
+        path = fresh_path(spark, "part")
+        df.repartitionByRange(1, key).sortWithinPartitions(key).write.parquet(path)
+        paths += _files(spark.read.parquet(path))
+    return paths
+
+
+def _placed(spark: SparkSession, report: sink.Report) -> DataFrame:
+    """What a merge has written, with each row's place over all files in the order of their names."""
+    rows = spark.read.parquet(*report.output_files).withColumns({"__file": F.col("_metadata.file_path"), merge.ROW: F.col("_metadata.row_index")})
+    return with_position(merge.numbered(rows, report.output_files).drop("__file").orderBy(merge.SOURCE, merge.ROW)).drop(merge.SOURCE, merge.ROW)
+
+
+def _order_files(spark: SparkSession, d: str) -> list[str]:
+    o = table(spark, d, "orders")
+    return _parts(spark, [_parity(o, "o_orderkey", 1, "o_totalprice", "o_orderkey", "cast(o_custkey as double) as o_custkey"), _parity(o, "o_orderkey", 0, "o_orderkey", "o_custkey", "o_orderstatus")], "o_orderkey")
+
+
+def files_top_level(spark: SparkSession, d: str) -> DataFrame:
+    """Files under the top-level contract, in the order of files and rows, as a folder."""
+    report = sink.merge_top_level_parquet_files(spark, _order_files(spark, d), fresh_path(spark, "merged"), single_file=False)
+    return _placed(spark, report).select("pos", "o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+
+
+def files_top_level_single(spark: SparkSession, d: str) -> DataFrame:
+    """The same as one file."""
+    report = sink.merge_top_level_parquet_files(spark, _order_files(spark, d), fresh_path(spark, "merged") + ".parquet")
+    return _placed(spark, report).select("pos", "o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+
+
+def files_interleaved(spark: SparkSession, d: str) -> DataFrame:
+    """The same rows in any order."""
+    execution = ExecutionOptions(unordered_merge_order=MergeOrder.ALLOW_INTERLEAVED, writer_compression=Compression("zstd", 3))
+    report = sink.merge_top_level_parquet_files(spark, _order_files(spark, d), fresh_path(spark, "merged"), execution=execution, single_file=False)
+    return spark.read.parquet(*report.output_files)
+
+
+def files_payload(spark: SparkSession, d: str) -> DataFrame:
+    """The files of the three payload tables in order, merged by ``event_id``, with whether the output is sorted."""
+    paths = [f for n in PAYLOADS for f in _files(table(spark, d, n))]
+    report = sink.merge_payload_parquet_files(spark, paths, folder := fresh_path(spark, "merged"), execution=ExecutionOptions(ordering_field="event_id"), single_file=False)
+    sound = validate.out_of_order(spark, folder, "event_id").isEmpty()
+    p = F.col("payload")
+    return spark.read.parquet(*report.output_files).select("event_id", "org_id", *_number(p["score"], "score"), p["profile"]["tier"].alias("tier"), F.size(p["scores"]).alias("n_scores"), p["amount"].alias("amount"), F.lit(sound).alias("in_order"))
+
+
+def files_ordered(spark: SparkSession, d: str) -> DataFrame:
+    """Sorted files of drifting schemas, of which two follow each other and two overlap: every row has its place."""
+    e = table(spark, d, "events").selectExpr("event_id", "user_id", "event_type", "value")
+    left, right = "named_struct('score', user_id, 'kind', event_type) as payload", "named_struct('score', value) as payload"
+    third = e.agg((F.max("event_id") / 3).cast("bigint")).first()[0]
+    frames = [e.filter(F.col("event_id") > 2 * third).selectExpr("event_id", left), e.filter(F.col("event_id") <= third).selectExpr("event_id", right),
+              *[e.filter((F.col("event_id") > third) & (F.col("event_id") <= 2 * third) & (F.pmod("event_id", F.lit(2)) == k)).selectExpr("event_id", (left, right)[k]) for k in range(2)]]
+    report = sink.merge_payload_parquet_files(spark, _parts(spark, frames, "event_id"), fresh_path(spark, "merged"), execution=ExecutionOptions(ordering_field="event_id"), single_file=False)
+    p = F.col("payload")
+    return _placed(spark, report).select("pos", "event_id", *_number(p["score"], "score"), p["kind"].alias("kind"))
+
+
+def files_report(spark: SparkSession, d: str) -> DataFrame:
+    """What a merge of three files with two schemas reports."""
+    s = table(spark, d, "supplier")
+    paths = _parts(spark, [_parity(s, "s_suppkey", k, "s_suppkey", "s_name" if k != 1 else "s_acctbal", parts=3) for k in range(3)], "s_suppkey")
+    report = sink.merge_top_level_parquet_files(spark, paths, fresh_path(spark, "merged"), single_file=False)
+    return spark.createDataFrame([(report.rows, report.adapter_cache_misses, report.adapter_cache_hits, report.input_bytes > 0 and report.output_bytes > 0)], "n_rows long, misses int, hits int, sized boolean")
+
+
+def files_writer_options(spark: SparkSession, d: str) -> DataFrame:
+    """Codec and encodings of every column as the options ask, and the rows that come back."""
+    columns = (ColumnOptions(("o_orderkey",), encoding=Encoding.DELTA_BINARY_PACKED), ColumnOptions(("o_totalprice",), encoding=Encoding.BYTE_STREAM_SPLIT, compression=Compression("zstd", 1)), ColumnOptions(("o_orderstatus",), dictionary_enabled=False))
+    execution = ExecutionOptions(writer_compression=Compression("snappy"), writer_column_options=columns, writer_version=2, writer_data_page_row_count_limit=1000, output_row_group_rows=5000)
+    report = sink.merge_top_level_parquet_files(spark, _order_files(spark, d), fresh_path(spark, "merged"), execution=execution, single_file=False)
+    chunks = footers.layout(spark, report.output_files)
+    has = lambda word: F.max(F.contains("encodings", F.lit(word)))
+    return chunks.groupBy("column_path").agg(F.min("codec").alias("codec"), has("DELTA_BINARY_PACKED").alias("packed"), has("BYTE_STREAM_SPLIT").alias("split"), has("DICTIONARY").alias("dictionary"), F.sum("num_values").alias("num_values"), (F.max("rows") <= 5000).alias("small_groups"))
+
+
+def ndjson_files(spark: SparkSession, d: str) -> DataFrame:
+    """NDJSON files with a field that holds numbers, texts and truth values, compacted to Parquet as text."""
+    e = table(spark, d, "events")
+    line = F.when(F.col("event_id") % 3 == 0, F.to_json(F.struct("event_id", F.col("user_id").alias("v")))).when(F.col("event_id") % 3 == 1, F.to_json(F.struct(F.col("event_type").alias("v"), "event_id"))).otherwise(F.to_json(F.struct("event_id", (F.col("user_id") % 2 == 0).alias("v"))))
+    path = fresh_path(spark, "lines")
+    e.select(line.alias("line")).write.text(path)
+    options = NdjsonOptions(("event_id",), widening=WideningOptions(strings=StringMode.PRIMITIVE_TO_STRING))
+    report = sink.compact_ndjson_to_parquet(spark, _files(spark.read.text(path)), fresh_path(spark, "compacted"), options, single_file=False)
+    return spark.read.parquet(*report.output_files).select("event_id", F.col("payload.v").alias("v"))
 
 
 def _ordered(spark: SparkSession, d: str, key: str, kind: pa.DataType) -> DataFrame:
@@ -147,7 +254,7 @@ def ndjson_compact(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ndjson_compact_sorted(spark: SparkSession, d: str) -> DataFrame:
-    out, _ = ndjson.read(_event_lines(spark, d), NdjsonOptions(("event_id", "user_id"), sort_field="user_id", sort_max_rows_in_memory=1 << 62))
+    out, _ = ndjson.read(_event_lines(spark, d), NdjsonOptions(("event_id", "user_id"), sort_field="user_id"))
     return with_position(out).select("pos", "event_id", "user_id")
 
 
@@ -181,10 +288,9 @@ def partition_columns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def metadata_layout(spark: SparkSession, d: str) -> DataFrame:
-    path = fresh_path(spark, "layout")
-    table(spark, d, "payload_right").write.parquet(path)
-    folder = pathlib.Path(path.replace("file://", "").replace("file:", ""))
-    return footers.layout_summary(footers.layout(spark, sorted(map(str, folder.glob("*.parquet")))))
+    """Column chunks of the files of a table, by column and codec."""
+    chunks = footers.layout(spark, _files(table(spark, d, "payload_right")))
+    return footers.layout_summary(chunks).groupBy("column_path", "codec").agg(F.sum("chunks").alias("chunks"), F.sum("num_values").alias("num_values"), F.sum("compressed_bytes").alias("compressed_bytes"), F.sum("uncompressed_bytes").alias("uncompressed_bytes"))
 
 
 def p2_payload_changes(spark: SparkSession, d: str) -> DataFrame:
@@ -205,7 +311,7 @@ def _named(name: str, key: str, kind: pa.DataType):
 QUERIES = {f.__name__: f for f in (
     top_level_union_pragmatic, top_level_union_exact_safe, top_level_null_fill, interleaved_union, null_type_absorb, schema_union_nested, string_fallback, payload_union_nested, payload_list_widen,
     payload_sum_nested, payload_project_nested, *(_named(n, *x) for n, x in ORDERINGS.items()), ordered_sortedness_check, ndjson_compact, ndjson_compact_sorted, ndjson_discovered_schema,
-    multiset_diff, partition_columns, metadata_layout, p2_payload_changes, p2_payload_table, p2_payload_whole,
+    files_top_level, files_top_level_single, files_interleaved, files_payload, files_ordered, files_report, files_writer_options, ndjson_files, multiset_diff, partition_columns, metadata_layout, p2_payload_changes, p2_payload_table, p2_payload_whole,
 )}
 
 _DISCOVERED = [
@@ -228,12 +334,14 @@ def _order_sql(key: str) -> str:
     return f'WITH s AS (SELECT event_id, {key} AS k, event_id % 3 AS src FROM events) SELECT row_number() OVER (ORDER BY (k IS NULL), {order}, src, event_id) AS pos, event_id, k FROM s'
 
 
-_PAYLOAD_SQL = """
-SELECT event_id, org_id, event_date, payload IS NULL AS no_payload, payload.score::DOUBLE AS score, payload.profile IS NULL AS no_profile, payload.profile.name AS name, NULL::VARCHAR AS tier, NULL::VARCHAR AS segment,
-  coalesce(len(payload.scores), {none})::INTEGER AS n_scores, NULL::INTEGER AS amount FROM payload_left
-UNION ALL SELECT event_id, org_id, event_date, payload IS NULL, payload.score, payload.profile IS NULL, NULL, payload.profile.tier, NULL, coalesce(len(payload.scores), {none})::INTEGER, payload.amount FROM payload_right
-UNION ALL SELECT event_id, org_id, event_date, payload IS NULL, payload.score::DOUBLE, payload.profile IS NULL, NULL, NULL, payload.profile.segment, {none}::INTEGER, payload.amount FROM payload_mixed
-""".replace("coalesce(len(payload.scores), {none})", "len(payload.scores)").replace("{none}", "NULL")
+_PAYLOADS = """
+p AS (SELECT event_id, org_id, event_date, payload IS NULL AS no_payload, payload.score::DOUBLE AS s, payload.profile IS NULL AS no_profile, payload.profile.name AS name, NULL::VARCHAR AS tier, NULL::VARCHAR AS segment, payload.scores::DOUBLE[] AS l, NULL::INTEGER AS amount FROM payload_left
+UNION ALL SELECT event_id, org_id, event_date, payload IS NULL, payload.score, payload.profile IS NULL, NULL, payload.profile.tier, NULL, payload.scores, payload.amount FROM payload_right
+UNION ALL SELECT event_id, org_id, event_date, payload IS NULL, payload.score::DOUBLE, payload.profile IS NULL, NULL, NULL, payload.profile.segment, NULL, payload.amount FROM payload_mixed)
+"""
+_SCORE = "CASE WHEN NOT isnan(s) THEN s END AS score, coalesce(isnan(s), FALSE) AS score_is_nan"
+_PAYLOAD_SQL = f"WITH {_PAYLOADS} SELECT event_id, org_id, event_date, no_payload, {_SCORE}, no_profile, name, tier, segment, len(l)::INTEGER AS n_scores, amount FROM p"
+_ORDERS = "SELECT row_number() OVER (ORDER BY o_orderkey % 2 DESC, o_orderkey) AS pos, o_orderkey, o_custkey::DOUBLE AS o_custkey, CASE WHEN o_orderkey % 2 = 1 THEN o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS o_orderstatus FROM orders"
 SQL = {
     "top_level_union_pragmatic": "SELECT o_orderkey, o_custkey::DOUBLE AS o_custkey, o_orderstatus, o_totalprice, NULL::VARCHAR AS o_orderpriority FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, o_custkey::DOUBLE, NULL, o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 2 = 1",
     "top_level_union_exact_safe": "SELECT c_custkey, c_nationkey::BIGINT AS c_nationkey, c_name, NULL::DOUBLE AS c_acctbal FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, c_nationkey::BIGINT, NULL, c_acctbal FROM customer WHERE c_custkey % 2 = 1",
@@ -244,8 +352,20 @@ SQL = {
     "string_fallback": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey::VARCHAR ELSE o_orderpriority END AS code, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 4 = 0)::VARCHAR ELSE o_orderstatus END AS mark FROM orders",
     "payload_union_nested": _PAYLOAD_SQL,
     "payload_list_widen": "WITH u AS (SELECT event_id, payload.scores::DOUBLE[] AS s FROM payload_left UNION ALL SELECT event_id, payload.scores FROM payload_right), x AS (SELECT event_id, s, unnest(range(0, len(s))) AS place FROM u) SELECT event_id, place::INTEGER AS place, s[place + 1] AS element FROM x",
-    "payload_sum_nested": "WITH u AS (SELECT payload.score AS s FROM payload_left UNION ALL SELECT payload.score FROM payload_mixed) SELECT sum(s)::BIGINT AS total, count(s) AS n, count(*) AS n_rows FROM u",
-    "payload_project_nested": "SELECT event_id, payload.profile.name AS name, NULL::VARCHAR AS segment FROM payload_left UNION ALL SELECT event_id, NULL, payload.profile.segment FROM payload_mixed",
+    "payload_sum_nested": f"WITH {_PAYLOADS} SELECT sum(CASE WHEN NOT isnan(s) AND abs(s) < 1e9 THEN floor(s * 1024)::BIGINT END)::BIGINT AS total, count(s) AS n, count(CASE WHEN isnan(s) THEN 1 END) AS n_nan, count(*) AS n_rows FROM p",
+    "payload_project_nested": f"WITH {_PAYLOADS} SELECT event_id, name, tier, segment FROM p",
+    "files_top_level": _ORDERS,
+    "files_top_level_single": _ORDERS,
+    "files_interleaved": f"SELECT o_totalprice, o_orderkey, o_custkey, o_orderstatus FROM ({_ORDERS})",
+    "files_payload": f"WITH {_PAYLOADS} SELECT event_id, org_id, {_SCORE}, tier, len(l)::INTEGER AS n_scores, amount, TRUE AS in_order FROM p",
+    "files_ordered": """WITH t AS (SELECT *, max(event_id) OVER () // 3 AS third FROM events), m AS (SELECT event_id, event_id > 2 * third OR (event_id > third AND event_id % 2 = 0) AS l, user_id, value, event_type FROM t),
+      s AS (SELECT event_id, CASE WHEN l THEN user_id::DOUBLE ELSE value END AS s, CASE WHEN l THEN event_type END AS kind FROM m)
+      SELECT row_number() OVER (ORDER BY event_id) AS pos, event_id, CASE WHEN NOT isnan(s) THEN s END AS score, coalesce(isnan(s), FALSE) AS score_is_nan, kind FROM s""",
+    "files_report": "SELECT count(*) AS n_rows, 2::INTEGER AS misses, 1::INTEGER AS hits, TRUE AS sized FROM supplier",
+    "files_writer_options": """SELECT column_path, CASE WHEN column_path = 'o_totalprice' THEN 'ZSTD' ELSE 'SNAPPY' END AS codec, column_path = 'o_orderkey' AS packed, column_path = 'o_totalprice' AS split, column_path = 'o_custkey' AS dictionary, (SELECT count(*) FROM orders) AS num_values, TRUE AS small_groups
+      FROM (VALUES ('o_orderkey'), ('o_custkey'), ('o_totalprice'), ('o_orderstatus')) AS c(column_path)""",
+    "ndjson_files": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN user_id::VARCHAR WHEN 1 THEN event_type ELSE (user_id % 2 = 0)::VARCHAR END AS v FROM events",
+    "metadata_layout": "SELECT replace(path_in_schema, ', ', '.') AS column_path, CASE compression WHEN 'LZ4_RAW' THEN 'LZ4' ELSE compression END AS codec, count(*) AS chunks, sum(num_values)::BIGINT AS num_values, sum(total_compressed_size)::BIGINT AS compressed_bytes, sum(total_uncompressed_size)::BIGINT AS uncompressed_bytes FROM parquet_metadata('/root/testdata/sf0.01/payload_right.parquet') GROUP BY ALL",
     **{n: _order_sql(k.replace("cast(ts as date)", "ts::DATE")) for n, (k, _) in ORDERINGS.items()},
     "ordered_sortedness_check": "WITH s AS (SELECT (event_id % 3)::INTEGER AS source, event_id, value, lag(value) OVER w AS p, lag(event_id) OVER w AS q FROM events WINDOW w AS (PARTITION BY event_id % 3 ORDER BY event_id)) SELECT source, count(*) AS violations, min(event_id // 3) AS first_row FROM s WHERE q IS NOT NULL AND ((p IS NULL AND value IS NOT NULL) OR p > value) GROUP BY source",
     "ndjson_compact": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN user_id END AS user_id, CASE WHEN event_id % 2 = 0 THEN event_type END AS kind, CASE WHEN event_id % 2 = 0 THEN user_id::DOUBLE ELSE value END AS score, CASE WHEN event_id % 2 = 0 THEN event_type END AS name, CASE WHEN event_id % 2 = 1 THEN user_id END AS tier, CASE WHEN event_id % 2 = 1 THEN user_id END AS first_score FROM events",
@@ -253,6 +373,7 @@ SQL = {
     "ndjson_discovered_schema": _values(_DISCOVERED, "path, type, nullable"),
     "multiset_diff": "WITH a AS (SELECT l_partkey, l_returnflag AS f FROM lineitem), b AS (SELECT l_partkey + 1 AS l_partkey, l_linestatus AS f FROM lineitem) SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS left_only, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS right_only",
     "partition_columns": "SELECT event_id, received_at, date_trunc('day', \"timestamp\")::TIMESTAMP AS partition_date, CASE WHEN org_id < 200 THEN 'tier1' WHEN org_id < 300 THEN 'tier2' ELSE 'tier3' END AS org_tier, country AS partition_country, extract(year FROM \"timestamp\")::INTEGER AS year, extract(month FROM \"timestamp\")::INTEGER AS month, extract(day FROM \"timestamp\")::INTEGER AS day, CASE WHEN org_id < 200 THEN 'tier1' WHEN org_id < 300 THEN 'tier2' ELSE 'tier3' END AS tier_text FROM event_log",
-    "p2_payload_table": _PAYLOAD_SQL,
+    "p2_payload_table": f"""WITH {_PAYLOADS}, x AS (SELECT *, unnest(CASE WHEN len(l) > 0 THEN range(0, len(l)) ELSE [NULL::BIGINT] END) AS i FROM p), y AS (SELECT *, l[i + 1] AS e FROM x)
+      SELECT event_id, org_id, event_date, {_SCORE}, name, tier, segment, amount, l IS NULL AS no_scores, i::INTEGER AS place, CASE WHEN NOT isnan(e) THEN e END AS element, coalesce(isnan(e), FALSE) AS element_is_nan FROM y""",
     "p2_payload_changes": _values(_CHANGES, "file, step, change_kind, field_path, old_type, new_type"),
 }
