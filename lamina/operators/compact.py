@@ -63,16 +63,23 @@ def _coded(df: DataFrame, keep: list[str], dims: tuple[str, str], payload: str,
 
 
 def _fingerprint(*columns: Column) -> list[Column]:
-    """Of a set of rows: how many, and the exact sum of their 64-bit hashes."""
-    return [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(20,0)")).alias("h")]
+    """Of a set of rows: how many, and their 64-bit hashes together."""
+    return _together(F.xxhash64(*columns))
 
 
-def _place(df: DataFrame, order: tuple[str, str]) -> Column:
-    """A row's place as one value that sorts like ``order``: a number where both are whole and fit one, which a hash aggregate can
-    keep the least of; else a struct."""
-    first, second = (df.schema[c].dataType for c in order)
-    if isinstance(first, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)) and isinstance(second, (T.IntegerType, T.ShortType, T.ByteType)):
-        return (F.col(order[0]).cast("decimal(19,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col(order[1]).cast("decimal(10,0)")).cast("decimal(38,0)")
+def _together(h: Column) -> list[Column]:
+    """Hashes by exclusive or, and by the sum of their lowest bits, as two equal ones cancel each other out. No sum of 2^43 rows overflows."""
+    return [F.count(F.lit(1)).alias("n"), F.struct(F.bit_xor(h), F.sum(h.bitwiseAND(F.lit((1 << 20) - 1)))).alias("h")]
+
+
+def _place(order: tuple[str, str], ends: list) -> Column:
+    """A row's place as one value that sorts like ``order``, whose least and greatest values are ``ends``. Whole numbers whose ranges fit
+    64 bits together become one such number, which a hash aggregate can keep the least of; others a struct."""
+    if all(isinstance(x, int) for x in ends):
+        (low, high), (least, most) = ends[:2], ends[2:]
+        width = most - least + 1
+        if (high - low + 1) * width < 1 << 62:
+            return (F.col(order[0]).cast("bigint") - F.lit(low)) * F.lit(width) + (F.col(order[1]).cast("bigint") - F.lit(least))
     return F.struct(*order)
 
 
@@ -116,14 +123,15 @@ def compact(df: DataFrame, order: tuple[str, str] = ("file_id", "row_no"), dims:
     path = path or fresh_path(spark, "compacted")
     rows = df.select(*order, *dims, payload)
     whole = F.xxhash64(*order, *dims, payload)
-    bounds = rows.agg(*[f(c).cast("bigint") for c in dims for f in (F.min, F.max)]).first()
-    low, high = [x or 0 for x in bounds[::2]], [x or 0 for x in bounds[1::2]]
+    bounds = rows.agg(*[f(c).cast("bigint") for c in dims for f in (F.min, F.max)], *[f(c) for c in order for f in (F.min, F.max)]).first()
+    low, high = [x or 0 for x in bounds[:4:2]], [x or 0 for x in bounds[1:4:2]]
+    place = _place(order, list(bounds[4:]))
 
     def staged(table: DataFrame, what: str) -> DataFrame:
         table.write.parquet(f"{path}.{what}")
         return spark.read.schema(table.schema).parquet(f"{path}.{what}")
 
-    tagged = spread(rows).withColumns({"__place": _place(df, order), "__whole": whole})
+    tagged = spread(rows).withColumns({"__place": place, "__whole": whole})
     narrow = staged(_coded(tagged, [*dims, "__place", "__whole"], dims, payload, low, high), "rows")
     key = [*dims, "__digest"]
     records = staged(narrow.groupBy(*key, "__code").agg(F.min("__place").alias("__place"), F.max("__bytes").alias("__bytes"), F.count(F.lit(1)).alias("copies")), "records")
@@ -131,16 +139,18 @@ def compact(df: DataFrame, order: tuple[str, str] = ("file_id", "row_no"), dims:
     files = max(1, -(-total // file_bytes))
     number = F.floor(F.col("__before") * files / F.lit(max(total, 1))).cast("int")
     numbers = along.select("__place", "copies", "__code", "__digest", F.least(number, F.lit(files - 1)).alias("file_no"))
-    placed = rows.withColumn("__place", _place(df, order)).join(numbers, "__place").select("file_no", *order, *dims, payload, "copies", "__code", "__digest")
+    placed = rows.withColumn("__place", place).join(numbers, "__place").select("file_no", *order, *dims, payload, "copies", "__code", "__digest")
     final = placed.drop("__digest", "__code")
     placed.repartitionById(files, F.col("file_no")).sortWithinPartitions("__code", *dims, "__digest").select(*final.columns).write.parquet(path)
     destination = spark.read.schema(final.schema).parquet(path)
-    # The files, digested anew, are compared with what was staged, and that with the source's rows as they are now.
-    wanted = narrow.select(*key).distinct().agg(*_fingerprint(*key)).first()
-    held = _coded(destination, [*dims, "copies"], dims, payload, low, high).agg(*_fingerprint(*key), F.sum("copies").alias("rows")).first()
+    # Each side is digested anew: the source's rows, which must be those that were staged, and the files, which must hold of each
+    # record that row which the staged ones say is its first.
+    hashes = _together(F.col("w"))
+    wanted = narrow.groupBy(*key).agg(F.min_by("__whole", "__place").alias("w")).agg(*hashes).first()
+    held = destination.agg(*_fingerprint(*order, *dims, payload), F.sum("copies").alias("rows")).first()
     if (wanted["n"], wanted["h"]) != (held["n"], held["h"]):
         raise DigestMismatch(f"source has {wanted['n']} records, hash {wanted['h']}; destination {held['n']}, hash {held['h']}")
-    source, kept = rows.agg(*_fingerprint(whole)).first(), narrow.agg(*_fingerprint(F.col("__whole"))).first()
+    source, kept = rows.agg(*_fingerprint(*order, *dims, payload)).first(), narrow.select(F.col("__whole").alias("w")).agg(*hashes).first()
     if (source["n"], source["h"]) != (kept["n"], kept["h"]):
         raise DigestMismatch(f"source has {source['n']} rows, hash {source['h']}; {kept['n']} were read, hash {kept['h']}")
     if source["n"] != (held["rows"] or 0):
